@@ -1,0 +1 @@
+"""Nothing streams here: every analysis in this library is a batch over one cohort table."""
