@@ -119,6 +119,6 @@ def second_view(spark: SparkSession, sf: str) -> DataFrame:
 SECOND_VIEW_CTE = """
 own AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS own FROM embeddings),
 second_view AS (SELECT a.id, a.own, CASE WHEN b.own IS NULL THEN a.own
-    ELSE list_transform(list_zip(a.own, b.own), p -> (p[1] + p[2]) / 2.0) END AS view
+    ELSE [(p[1] + p[2]) / 2.0 FOR p IN list_zip(a.own, b.own)] END AS view
   FROM own a LEFT JOIN own b ON b.id = a.id + 1)
 """

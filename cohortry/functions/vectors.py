@@ -57,6 +57,10 @@ def blocks_for(n_rows: int, block_rows: int) -> int:
     return max(1, math.ceil(n_rows / block_rows))
 
 
+def _long(n: int) -> Column:
+    return F.lit(n).cast("long")
+
+
 def block_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
                 fn: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str,
                 block_rows: int = 2048) -> DataFrame:
@@ -69,9 +73,9 @@ def block_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     n_left = blocks_for(left.count(), block_rows)
     n_right = blocks_for(right.count(), block_rows)
     a = left.select("*", F.expr(f"pmod(xxhash64(`{left_id}`), {n_left})").alias("__i"),
-                    F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))).cast("long").alias("__j"))
+                    F.explode(F.sequence(_long(0), _long(n_right - 1))).alias("__j"))
     b = right.select("*", F.expr(f"pmod(xxhash64(`{right_id}`), {n_right})").alias("__j"),
-                     F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))).cast("long").alias("__i"))
+                     F.explode(F.sequence(_long(0), _long(n_left - 1))).alias("__i"))
 
     def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if len(x) == 0 or len(y) == 0:
