@@ -83,7 +83,8 @@ def seed_stability(spark, sf):
 def bootstrap_stability(spark, sf):
     rows = embedded(spark, sf).persist()
     fit = flows.fitter("kmeans", "features", 2)
-    return rounded(g.bootstrap_stability(fit(rows, 5, 2026, "cluster"), "id", "cluster", 5, fit), "stability_ari")
+    parts = g.subsamples(fit(rows, 5, 2026, "cluster"), "id")
+    return rounded(g.bootstrap_stability(parts, "cluster", 5, fit), "stability_ari")
 
 
 def eta_sql(value: str, label: str, source: str) -> str:

@@ -143,7 +143,8 @@ def _by_full_ranks(df: DataFrame, bracket: _Bracket) -> float:
 
 
 def exact_quantiles(df: DataFrame, wanted: dict[str, tuple[Column, Sequence[float]]],
-                    max_candidates: int = MAX_CANDIDATES, accuracy: int = 10_000) -> dict[str, list[float | None]]:
+                    max_candidates: int = MAX_CANDIDATES, accuracy: int = 10_000,
+                    counts: dict[str, int] | None = None) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles, exact at any table size.
 
     ``wanted`` maps a name to (value, probabilities). Small columns use the exact
@@ -151,13 +152,16 @@ def exact_quantiles(df: DataFrame, wanted: dict[str, tuple[Column, Sequence[floa
     distinct value in memory, so for a large column a sketch first brackets the
     position, the bracket is counted exactly, and only when few enough rows are
     left inside is the value picked; each round is one scan without a shuffle of rows.
+    ``counts`` are the numbers of values per name, where the caller knows them already.
     """
     if not wanted:
         return {}
     names = list(wanted)
     values = {k: safe_numeric(v) for k, (v, _) in wanted.items()}
-    counts = one_row(df.agg(*[F.count(values[k]).alias(f"n{i}") for i, k in enumerate(names)]))
-    total = {k: counts[f"n{i}"] for i, k in enumerate(names)}
+    if counts is None:
+        found = one_row(df.agg(*[F.count(values[k]).alias(f"n{i}") for i, k in enumerate(names)]))
+        counts = {k: found[f"n{i}"] for i, k in enumerate(names)}
+    total = {k: counts[k] for k in names}
     out: dict[str, list[float | None]] = {k: [None] * len(wanted[k][1]) for k in names}
     small = [k for k in names if 0 < total[k] <= max_candidates]
     if small:
@@ -186,8 +190,8 @@ def exact_quantiles(df: DataFrame, wanted: dict[str, tuple[Column, Sequence[floa
     return out
 
 
-def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
-    found = exact_quantiles(df, {c: (col(c), [0.5]) for c in columns})
+def medians(df: DataFrame, columns: Sequence[str], counts: dict[str, int] | None = None) -> dict[str, float | None]:
+    found = exact_quantiles(df, {c: (col(c), [0.5]) for c in columns}, counts=counts)
     return {c: q[0] for c, q in found.items()}
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.columns import col, melt, safe_numeric
+from ..functions.columns import col, is_text, melt, safe_numeric
 from ..functions.ranks import exact_quantiles
 from ..functions.sizes import one_row
 from ..presets import DATE_WORD, MISSING_BINS, NUMERIC_KEYWORDS
@@ -27,7 +28,8 @@ def _as_date(c: str) -> Column:
 
 
 def column_facts(df: DataFrame, columns: Sequence[str] | None = None) -> dict[str, dict]:
-    """Per column: share of numbers, share of dates, and distinct counts that are exact when small.
+    """Per column: rows, present and numeric cells, share of dates, mean and squared deviations of the
+    numbers, and distinct counts that are exact when small.
 
     Distinct values are first sketched. Only columns whose sketch is small are then
     counted exactly with a set, so no task ever holds a large set.
@@ -35,29 +37,43 @@ def column_facts(df: DataFrame, columns: Sequence[str] | None = None) -> dict[st
     columns = list(columns if columns is not None else df.columns)
     if not columns:
         return {}
+    number = {c: safe_numeric(col(c).cast("string") if is_text(df, c) or not _is_number(df, c) else col(c)) for c in columns}
+    dated = [c for c in columns if DATE_WORD in c or "date" in c.lower()]
     first = one_row(df.agg(F.count(F.lit(1)).alias("n"), *[x for i, c in enumerate(columns) for x in (
-        F.count(safe_numeric(col(c).cast("string"))).alias(f"num{i}"),
-        F.count(_as_date(c)).alias(f"day{i}") if DATE_WORD in c or "date" in c.lower() else F.lit(0).alias(f"day{i}"),
-        F.approx_count_distinct(col(c)).alias(f"d{i}"))]))
+        F.count(col(c)).alias(f"here{i}"), F.count(number[c]).alias(f"num{i}"),
+        F.avg(number[c]).alias(f"m{i}"), F.var_pop(number[c]).alias(f"v{i}"),
+        F.approx_count_distinct(col(c)).alias(f"d{i}"))],
+        *[F.count(_as_date(c)).alias(f"day{columns.index(c)}") for c in dated]))
     small = [i for i in range(len(columns)) if first[f"d{i}"] <= _SURELY_MANY]
-    exact = one_row(df.agg(F.lit(0).alias("z"), *[x for i in small for x in (
-        F.size(F.collect_set(col(columns[i]))).alias(f"d{i}"),
-        F.size(F.collect_set(safe_numeric(col(columns[i]).cast("string")))).alias(f"u{i}"))]))
+    sets = one_row(df.agg(*[F.collect_set(col(columns[i])).alias(f"d{i}") for i in small])) if small else None
     n = first["n"] or 1
     facts = {}
     for i, c in enumerate(columns):
-        many = first[f"d{i}"]
+        levels = sets[f"d{i}"] if i in small else None
         facts[c] = {
-            "numeric_share": first[f"num{i}"] / n,
-            "date_share": first[f"day{i}"] / n,
-            "distinct": exact[f"d{i}"] if i in small else many,
-            # unequal texts may be equal numbers, but a column with hundreds of texts that
-            # collapses to a few numbers is not worth an exact count
-            "distinct_numbers": exact[f"u{i}"] if i in small else many,
+            "rows": first["n"], "present": first[f"here{i}"], "numbers": first[f"num{i}"],
+            "numeric_share": first[f"num{i}"] / n, "date_share": first[f"day{i}"] / n if c in dated else 0.0,
+            "mean": first[f"m{i}"], "squares": (first[f"v{i}"] or 0.0) * first[f"num{i}"],
+            "distinct": first[f"d{i}"] if levels is None else len(levels),
+            # hundreds of unequal texts that are but a few numbers are not worth an exact count
+            "distinct_numbers": first[f"d{i}"] if levels is None else len({_read(v) for v in levels} - {None}),
         }
     return facts
 
 
+def _is_number(df: DataFrame, c: str) -> bool:
+    return df.schema[c].dataType.typeName() in ("double", "float", "long", "integer", "short", "byte")
+
+
+def _read(value) -> float | None:
+    """A level as a number, the way ``safe_numeric`` reads it."""
+    try:
+        number = float(value)
+    except (TypeError, ValueError):
+        return None
+    return None if math.isnan(number) else number
+
+
 def column_kind(name: str, facts: dict, date_word: str = DATE_WORD,
                 numeric_keywords: Sequence[str] = NUMERIC_KEYWORDS) -> str:
     if date_word in name and facts["date_share"] > 0.6:

@@ -168,18 +168,23 @@ def level_counts(df: DataFrame, columns: Sequence[str], missing: str = "Missing"
         .agg(F.count(F.lit(1)).alias("n"))
 
 
-def kept_levels(df: DataFrame, columns: Sequence[str], min_share: float, missing: str = "Missing") -> dict[str, list[str]]:
-    """Levels that are not rare. At most ``1 / min_share`` per column, so they fit on the driver."""
+def common_levels(df: DataFrame, columns: Sequence[str], min_share: float, missing: str = "Missing",
+                  n_rows: int | None = None) -> dict[str, dict[str, int]]:
+    """Levels that are not rare, with their counts. At most ``1 / min_share`` per column, so they fit on the driver."""
     if not columns:
         return {}
-    total = df.count()
+    total = df.count() if n_rows is None else n_rows
     # the exact comparison n / total >= share is kept: a product could round the other way
     common = level_counts(df, columns, missing).filter(F.col("n") / F.lit(float(max(total, 1))) >= min_share)
     rows = few_rows(common, int(len(columns) / min_share) + 1, "levels above the rarity limit")
-    out: dict[str, list[str]] = {c: [] for c in columns}
+    out: dict[str, dict[str, int]] = {c: {} for c in columns}
     for r in rows:
-        out[r["feature"]].append(r["level"])
-    return {c: sorted(v) for c, v in out.items()}
+        out[r["feature"]][r["level"]] = r["n"]
+    return out
+
+
+def kept_levels(df: DataFrame, columns: Sequence[str], min_share: float, missing: str = "Missing") -> dict[str, list[str]]:
+    return {c: sorted(v) for c, v in common_levels(df, columns, min_share, missing).items()}
 
 
 def collapse_rare(df: DataFrame, columns: Sequence[str], min_share: float = 0.005, missing: str = "Missing",

@@ -201,18 +201,20 @@ def subsample(df: DataFrame, id_col: str, share: float, rep: int, seed: int = 20
     return df.filter(lowest_k(df, stable_key(col(id_col), seed, rep), col(id_col), {None: take}))
 
 
-def bootstrap_stability(df: DataFrame, id_col: str, base: str, k: int,
-                        fit: Callable[[DataFrame, int, int, str], DataFrame], reps: int = 8, share: float = 0.8,
-                        seed: int = 2026) -> DataFrame:
-    """Mean ARI between base labels and labels refitted on subsamples, compared on the subsample.
+def subsamples(df: DataFrame, id_col: str, reps: int = 8, share: float = 0.8, seed: int = 2026) -> list[DataFrame]:
+    """The subsamples of a bootstrap; several candidates can be compared on the same ones."""
+    return [subsample(df, id_col, share, rep, seed) for rep in range(reps)]
+
+
+def bootstrap_stability(parts: Sequence[DataFrame], base: str, k: int,
+                        fit: Callable[[DataFrame, int, int, str], DataFrame], seed: int = 2026) -> DataFrame:
+    """Mean ARI between base labels and labels refitted on each subsample, compared on the subsample.
 
     The index does not change when clusters are renumbered, so the refits keep their numbers.
     """
-    parts = []
-    for rep in range(reps):
-        part = fit(subsample(df, id_col, share, rep, seed), k, seed + 1 + rep, "__refit")
-        parts.append(part.select(F.lit(rep).alias("rep"), col(base).alias("a"), F.col("__refit").alias("b")))
-    return adjusted_rand(reduce(DataFrame.unionByName, parts), "a", "b", ["rep"]).agg(F.avg("ari").alias("stability_ari"))
+    runs = [fit(part, k, seed + 1 + rep, "__refit").select(
+        F.lit(rep).alias("rep"), col(base).alias("a"), F.col("__refit").alias("b")) for rep, part in enumerate(parts)]
+    return adjusted_rand(reduce(DataFrame.unionByName, runs), "a", "b", ["rep"]).agg(F.avg("ari").alias("stability_ari"))
 
 
 # --- separation of values -----------------------------------------------------------

@@ -18,7 +18,7 @@ from ..functions.ranks import medians
 from ..functions.sizes import broadcast_if_small, few_rows, one_row
 from ..presets import NON_FEATURES, NUMERIC_KEYWORDS
 from .audit import column_facts
-from .clean import codebook_apply, collapse_rare, drop_sparse_columns, kept_levels, missing_indicator
+from .clean import codebook_apply, common_levels
 
 #: levels one column may be spread over as indicator columns
 MAX_LEVELS = 1_000
@@ -164,26 +164,42 @@ def fit_design(df: DataFrame, exclude: Sequence[str] = (), codebook: DataFrame |
     """Learn the design matrix: sparse columns out, types, medians, deviations, levels.
 
     Returns the design and the frame it applies to (with missing indicators added
-    when ``indicators``). The number of jobs does not depend on the number of columns.
+    when ``indicators``). Four jobs, whatever the number of columns.
     """
     src = df
-    names = [*NON_FEATURES, *exclude]
-    slim = drop_sparse_columns(df, max_missing, names, derived_prefix, keep=always_numeric)
-    columns = slim.columns
-    kinds = split_feature_types(df, columns, curated, numeric_keywords, always_numeric)
-    numeric = [c for c in columns if kinds[c] == "numeric"]
-    categorical = [c for c in columns if kinds[c] == "categorical"]
+    out = {*NON_FEATURES, *exclude}
+    columns = [c for c in df.columns if c in always_numeric
+               or not (c in out or (derived_prefix and c.startswith(derived_prefix)))]
+    facts = column_facts(df, columns)
+    n_rows = max((f["rows"] for f in facts.values()), default=0)
+    missing = {c: (f["rows"] - f["present"]) / n_rows if n_rows else 0.0 for c, f in facts.items()}
+    columns = [c for c in columns if c in always_numeric or missing[c] < max_missing]
+    kind = (lambda c: curated_kind(c, facts[c], always_numeric)) if curated else \
+        (lambda c: feature_kind(c, facts[c], numeric_keywords))
+    numeric = [c for c in columns if kind(c) == "numeric"]
+    categorical = [c for c in columns if c not in numeric]
     if indicators:
-        before = set(src.columns)
-        src = missing_indicator(src, numeric, indicator_share)
-        categorical += [c for c in src.columns if c not in before]
+        flagged = [c for c in numeric if missing[c] >= indicator_share]
+        src = df.select("*", *[col(c).isNull().cast("int").alias(f"{c}__missing") for c in flagged])
+        categorical += [f"{c}__missing" for c in flagged]
+    fill = medians(df, numeric, {c: facts[c]["numbers"] for c in numeric}) if numeric else {}
     read = codebook_apply(src, codebook, categorical) if codebook is not None and categorical else src
-    fill = medians(src, numeric) if numeric else {}
-    filled = src.select([F.coalesce(safe_numeric(col(c)), F.lit(fill[c]).cast("double")).alias(c) for c in numeric])
-    kept = kept_levels(read, categorical, min_share)
-    levels = levels_of(collapse_rare(read.select([col(c) for c in categorical]), categorical, kept=kept), categorical) \
-        if categorical else {}
-    return Design(numeric, categorical, fill, moments(filled, numeric), kept, levels, codebook), src
+    common = common_levels(read, categorical, min_share, n_rows=n_rows)
+    kept = {c: sorted(v) for c, v in common.items()}
+    rare = {c for c, v in common.items() if sum(v.values()) < n_rows}
+    levels = {c: sorted({*v, "Other"}) if c in rare else v for c, v in kept.items()}
+    scale = {c: _filled_moments(facts[c], fill[c], n_rows) for c in numeric}
+    return Design(numeric, categorical, fill, scale, kept, levels, codebook), src
+
+
+def _filled_moments(facts: Mapping, fill: float | None, n_rows: int) -> tuple[float, float]:
+    """Mean and population deviation of a column once its gaps hold ``fill``."""
+    n, gaps = facts["numbers"], n_rows - facts["numbers"]
+    if not n:
+        return 0.0, 1.0
+    mean = (n * facts["mean"] + gaps * fill) / n_rows
+    squares = facts["squares"] + n * gaps / n_rows * (facts["mean"] - fill) ** 2
+    return mean, (squares / n_rows) ** 0.5 or 1.0
 
 
 def design_matrix(df: DataFrame, id_col: str, keep: Sequence[str] = (), **options) -> tuple[DataFrame, Design]:
@@ -269,8 +285,11 @@ def tfidf_terms(df: DataFrame, id_col: str, text_col: str, min_df: int = 5, max_
     small enough to broadcast, however often a single word occurs.
     """
     docs = df.count() if n_docs is None else n_docs
-    placed = df.select(col(id_col).alias("id"), col(text_col).alias("__text")).repartition("id")
-    counts = (placed.select("id", F.explode(with_bigrams(words(F.col("__text")))).alias("term"))
+    # a fixed number of parts: text grows when it is split, so parts must not be merged by their size before
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.select(col(id_col).alias("id"), col(text_col).alias("__text")).repartition(parts, "id")
+    split = placed.select("id", words(F.col("__text")).alias("__words"))
+    counts = (split.select("id", F.explode(with_bigrams(F.col("__words"))).alias("term"))
               .groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf")))
     vocabulary = (counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
                   .filter(F.col("df") >= min_df).orderBy(F.desc("total"), "term").limit(max_features)

@@ -68,9 +68,10 @@ def evaluation_grid(df: DataFrame, id_col: str, methods: Sequence[str], outcome:
         for t in tables:
             for r in t.collect():  # one row per candidate
                 found[r["labeling"]].update(r.asDict())
+        parts = evaluate.subsamples(labelled, id_col, reps, seed=seed) if stability == "bootstrap" else []
         for (c, k), name in zip(candidates, names):
             fit = fitter(c, method, n_init)
-            agree = evaluate.bootstrap_stability(labelled, id_col, name, k, fit, reps, seed=seed) if stability == "bootstrap" \
+            agree = evaluate.bootstrap_stability(parts, name, k, fit, seed) if parts \
                 else evaluate.seed_stability(labelled, name, k, fit, range(reps))
             m = found[name]
             rows.append((method, c, k, m["silhouette"], m["calinski_harabasz"], m["davies_bouldin"],
