@@ -215,9 +215,10 @@ def scored(spark, sf):
     return s.continuous_scores(df, SCORES)
 
 
-@query("continuous_scores", f"WITH {x.CLEAN_CTE}, {_SCORES_SQL} SELECT id, {', '.join(f'{r6(n)} AS {n}' for n in _NAMES)} FROM scores")
+@query("continuous_scores", f"WITH {x.CLEAN_CTE}, {_SCORES_SQL} SELECT id, {', '.join(f'{r6(n, 9)} AS {n}' for n in _NAMES)} FROM scores")
 def continuous_scores(spark, sf):
-    return rounded(scored(spark, sf).select("id", *_NAMES), *_NAMES)
+    # prices have two decimals and weights two more: nine places keep half-way cases out
+    return rounded(scored(spark, sf).select("id", *_NAMES), *_NAMES, digits=9)
 
 
 _FILLED = ", ".join(f"COALESCE({n}, (SELECT MEDIAN({n}) FROM scores)) AS {n}" for n in _NAMES)
@@ -225,11 +226,11 @@ _TOTAL = f"(({' + '.join(_NAMES)}) / 5.0)"
 
 
 @query("score_finalize", f"""WITH {x.CLEAN_CTE}, {_SCORES_SQL}, filled AS (SELECT id, {_FILLED} FROM scores)
-SELECT id, {', '.join(f'{r6(n)} AS {n}, {r6(n + " * 100.0")} AS {n}_100' for n in _NAMES)},
-  {r6(_TOTAL)} AS total, {r6(_TOTAL + ' * 100.0')} AS total_100 FROM filled""")
+SELECT id, {', '.join(f'{r6(n, 9)} AS {n}, {r6(n + " * 100.0", 9)} AS {n}_100' for n in _NAMES)},
+  {r6(_TOTAL, 9)} AS total, {r6(_TOTAL + ' * 100.0', 9)} AS total_100 FROM filled""")
 def score_finalize(spark, sf):
     out = s.score_finalize(scored(spark, sf).select("id", *_NAMES), _NAMES)
-    return rounded(out, *[c for c in out.columns if c != "id"])
+    return rounded(out, *[c for c in out.columns if c != "id"], digits=9)
 
 
 @query("score_conditional_impact", f"""WITH {x.CLEAN_CTE} SELECT id,

@@ -16,10 +16,10 @@ from .registry import query, r6, rounded
 _VEC = f"{x.VECTORS_CTE}, vec AS (SELECT id, label, label2, outcome, CAST(embedding AS DOUBLE[]) AS v FROM vectors)"
 
 
-def _silhouette(label: str) -> str:
+def _silhouette(label: str, distance: str = "list_distance(p.v, q.v)") -> str:
     return f"""SELECT '{label}' AS labeling, AVG(CASE WHEN size = 1 OR GREATEST(a, b) = 0 THEN 0 ELSE (b - a) / GREATEST(a, b) END) AS silhouette
   FROM (SELECT id, MAX(CASE WHEN own = other THEN n END) AS size, MAX(CASE WHEN own = other THEN s / NULLIF(n - 1, 0) END) AS a,
-    MIN(CASE WHEN own <> other THEN s / n END) AS b FROM (SELECT p.id, p.{label} AS own, q.{label} AS other, SUM(list_distance(p.v, q.v)) AS s,
+    MIN(CASE WHEN own <> other THEN s / n END) AS b FROM (SELECT p.id, p.{label} AS own, q.{label} AS other, SUM({distance}) AS s,
     COUNT(*) AS n FROM vec p, vec q GROUP BY p.id, p.{label}, q.{label}) GROUP BY id)"""
 
 
@@ -28,7 +28,8 @@ def silhouette(spark, sf):
     return rounded(g.silhouette(x.vectors(spark, sf), "id", "embedding", ["label", "label2"]), "silhouette")
 
 
-@query("silhouette_squared")
+@query("silhouette_squared", f"""WITH {_VEC} SELECT labeling, {r6('silhouette')} AS silhouette FROM (
+  {_silhouette('label', 'list_distance(p.v, q.v) * list_distance(p.v, q.v)')} UNION ALL {_silhouette('label2', 'list_distance(p.v, q.v) * list_distance(p.v, q.v)')})""")
 def silhouette_squared(spark, sf):
     return rounded(g.silhouette(x.vectors(spark, sf), "id", "embedding", ["label", "label2"], "squared"), "silhouette")
 

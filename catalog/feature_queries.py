@@ -41,13 +41,15 @@ def zscore(spark, sf):
     return rounded(f.zscore(df, ["n_orders", "max_price", "bal", "constant"]), "n_orders", "max_price", "bal")
 
 
-_SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+def _dummy(c: str) -> str:
+    return f"SELECT id, '{c}=' || level AS feature, CAST({c} = level AS INT) AS value FROM cohort, (SELECT DISTINCT {c} AS level FROM cohort)"
 
 
-@query("one_hot", f"""WITH {x.COHORT_CTE} SELECT id, {', '.join(f"CAST(kind = '{k}' AS INT) AS \"kind={k}\"" for k in ('ONE', 'RARE', 'TWO'))},
-  {', '.join(f"CAST(segment = '{k}' AS INT) AS \"segment={k}\"" for k in _SEGMENTS)} FROM cohort""")
+# in long form, since the columns depend on the levels that occur
+@query("one_hot", f"WITH {x.COHORT_CTE} {_dummy('kind')} UNION ALL {_dummy('segment')}")
 def one_hot(spark, sf):
-    return f.one_hot(x.cohort(spark, sf).select("id", "kind", "segment"), ["kind", "segment"])
+    wide = f.one_hot(x.cohort(spark, sf).select("id", "kind", "segment"), ["kind", "segment"])
+    return wide.unpivot("id", [c for c in wide.columns if c != "id"], "feature", "value")
 
 
 def _codes(c: str) -> str:

@@ -70,9 +70,26 @@ SELECT l_returnflag AS method, l_linestatus AS clusterer, CAST(l_linenumber + 1
 FROM {lineitem} GROUP BY l_returnflag, l_linestatus, l_linenumber
 """
 
-_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
-           "embeddings", "pages", "benchmark", "labels", "conversations")
-_DUCK = {t: t for t in _TABLES}
+#: schemas are given, so that no file is opened before a query runs
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, "
+              "o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+                "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+    "embeddings": "vec_id long, embedding array<float>, label int",
+    "pages": "page_id long, url string, html string",
+    "benchmark": "item_id long, text string",
+    "labels": "doc_id long, quality int, toxic int",
+    "conversations": "conv_id long, turn long, role string, text string",
+}
+_DUCK = {t: t for t in SCHEMAS}
 
 #: CTE bodies for the oracle side
 COHORT_CTE = f"cohort AS ({COHORT.format(**_DUCK)})"
@@ -84,12 +101,12 @@ GRID_CTE = f"grid AS ({GRID.format(**_DUCK)})"
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf}/{name}.parquet")
 
 
 def _derived(sql: str):
     def build(spark: SparkSession, sf: str) -> DataFrame:
-        used = {t: table(spark, sf, t) for t in _TABLES if "{" + t + "}" in sql}
+        used = {t: table(spark, sf, t) for t in SCHEMAS if "{" + t + "}" in sql}
         return spark.sql(sql, **used)
     return build
 

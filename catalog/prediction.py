@@ -42,7 +42,7 @@ s AS (SELECT lang, COUNT(*) AS n, SUM(y) AS p, SUM(yhat) AS hot, SUM(y * yhat) A
   SUM(r) FILTER (y = 1) AS rs FROM ranked GROUP BY lang)
 SELECT lang, n, CAST(ok AS DOUBLE) / n AS accuracy, COALESCE(CAST(2 * tp AS DOUBLE) / NULLIF(p + hot, 0), 0) AS f1,
   COALESCE(CAST(tp AS DOUBLE) / NULLIF(hot, 0), 0) AS "precision", COALESCE(CAST(tp AS DOUBLE) / NULLIF(p, 0), 0) AS recall,
-  {r6('(rs - p * (p + 1) / 2.0) / (p * (n - p))')} AS auc FROM s""")
+  {r6('(rs - p * (p + 1) / 2.0) / NULLIF(p * (n - p), 0)')} AS auc FROM s""")
 def binary_metrics(spark, sf):
     docs = x.docs(spark, sf).filter("quality IS NOT NULL")
     pred = docs.select("lang", F.col("quality").alias("y"), ((F.col("n_chars") % 97) / 97.0).alias("score")) \

@@ -95,7 +95,7 @@ def cluster_interpretation(spark, sf):
         profile, "segment", "total", (1.2, "Least impaired.", "In between.", 1.9, "Most impaired."),
         [("balance", 0.15, "balances hold", 0.25, "balances are low"), ("coding", None, None, 0.3, "coding is high"),
          ("spend", 0.5, "spending holds", None, None)],
-        [("n_orders", "Orders", "%.2f"), ("bal", "Balance", "%.1f"), ("absent", "Absent", "%.1f")])
+        [("n_orders", "Orders", 2), ("bal", "Balance", 1), ("absent", "Absent", 1)])
 
 
 _OUT = ("n_orders", "urgent", "finished")

@@ -27,5 +27,5 @@ def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
     return df.select([F.round(col(c), digits).alias(c) if c in names else col(c) for c in df.columns])
 
 
-def r6(sql: str) -> str:
-    return f"(ROUND({sql}, 6) + 0.0)"
+def r6(sql: str, digits: int = 6) -> str:
+    return f"(ROUND({sql}, {digits}) + 0.0)"

@@ -49,6 +49,14 @@ def code_key(col: Column) -> Column:
     return F.regexp_replace(text, r"^(-?[0-9]+)\.0+$", "$1")
 
 
+def fixed(number: Column, digits: int) -> Column:
+    """Text with a fixed number of decimals, rounded by the exact binary value as ``printf`` does.
+
+    ``format_string`` rounds the shortest decimal form instead, and shows 10.075 as 10.08.
+    """
+    return F.call_function("format_number", number.cast("double"), F.lit("0." + "0" * digits if digits else "0"))
+
+
 def quote(name: str) -> str:
     """A column name made safe for ``F.col`` (names may hold dots or spaces)."""
     return "`" + name.replace("`", "``") + "`"

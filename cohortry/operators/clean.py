@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import clip, code_key, col, is_text, melt, safe_numeric
+from ..functions.columns import clip, code_key, col, fixed, is_text, melt, safe_numeric
 from ..functions.ranks import exact_quantiles, medians
 from ..functions.sizes import few_rows, one_row
 from ..presets import MISSING_TOKENS
@@ -112,7 +112,7 @@ def readable_value(value: Column, labels: Mapping[str, str] | None = None, flag:
     text = F.trim(value.cast("string"))
     number = safe_numeric(text)
     shown = F.when(number == F.floor(number), number.cast("decimal(38,0)").cast("string")) \
-        .when(number.isNotNull(), F.format_string("%.2f", number)).otherwise(text)
+        .when(number.isNotNull(), fixed(number, 2)).otherwise(text)
     if flag:
         shown = F.when(number == 0, F.lit(no)).when(number == 1, F.lit(yes)).otherwise(shown)
     if labels:

@@ -113,7 +113,9 @@ def multiclass_metrics(df: DataFrame, y: str, predicted: str, scores: Mapping[ob
         F.struct(F.lit(i).alias("class"), (F.col("y") == F.lit(c)).cast("int").alias("pos"), F.col(f"s{i}").alias("score"))
         for i, c in enumerate(scores)])))
     auc = auc_by_ranks(long, "pos", "score", ["class"]).agg(F.avg("auc").alias("auc_ovr"))
-    return out.withColumn("__one", F.lit(1)).join(F.broadcast(auc.withColumn("__one", F.lit(1))), "__one").drop("__one")
+    # two one-row results side by side
+    both = out.unionByName(auc, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 # --- attribution -------------------------------------------------------------------

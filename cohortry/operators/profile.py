@@ -11,12 +11,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.chi2 import tail_column
-from ..functions.columns import col, melt, safe_numeric
+from ..functions.columns import col, fixed, melt, safe_numeric
 from ..functions.ranks import exact_quantiles, with_ranks
 from ..functions.sizes import broadcast_if_small, few_rows, one_row
 from ..functions.vectors import dot, doubles, literal, squared_distance, subtract
 from .clean import readable_value
-from .evaluate import cluster_centres, effect_sizes, group_moments, spearman
+from .evaluate import MAX_CLUSTERS, cluster_centres, effect_sizes, group_moments, spearman
 
 
 def cluster_profile_means(df: DataFrame, label: str, columns: Sequence[str]) -> DataFrame:
@@ -113,21 +113,21 @@ def phrase(value: Column, low: float | None = None, low_text: str | None = None,
 
 
 def cluster_interpretation(profile: DataFrame, label: str, overall: str, bands: tuple[float, str, str, float, str],
-                           domains: Sequence[tuple], outcomes: Sequence[tuple[str, str, str]]) -> DataFrame:
+                           domains: Sequence[tuple], outcomes: Sequence[tuple[str, str, int]]) -> DataFrame:
     """(label, interpretation) from a profile of cluster means.
 
     ``bands`` is (low, low text, middle text, high, high text) for the overall score;
     ``domains`` holds (column, low, low text, high, high text), the limits may be None;
-    ``outcomes`` holds (column, name, printf format) and are quoted when present.
+    ``outcomes`` holds (column, name, decimals) and are quoted when present.
     """
     low, low_text, mid_text, high, high_text = bands
     whole = F.when(col(overall) < low, F.lit(low_text)).when(col(overall) > high, F.lit(high_text)).otherwise(F.lit(mid_text))
     traits = F.array_compact(F.array(*[phrase(col(c), *limits) for c, *limits in domains]))
     quoted = F.array_compact(F.array(*[
-        F.when(col(c).isNotNull(), F.format_string(f"{name}={fmt}", col(c))) for c, name, fmt in outcomes
+        F.concat(F.lit(f"{name}="), fixed(col(c), digits)) for c, name, digits in outcomes
         if c in profile.columns]))
     text = F.concat_ws(
-        " ", F.format_string(f"Cluster %s: {overall}=%.1f.", col(label).cast("string"), col(overall)), whole,
+        " ", F.concat(F.lit("Cluster "), col(label).cast("string"), F.lit(f": {overall}="), fixed(col(overall), 1), F.lit(".")), whole,
         F.when(F.size(traits) > 0, F.concat(F.lit("Traits: "), F.array_join(traits, ", "), F.lit("."))),
         F.when(F.size(quoted) > 0, F.concat(F.lit("Outcomes: "), F.array_join(quoted, ", "), F.lit("."))))
     return profile.select(col(label), text.alias("interpretation"))
@@ -142,20 +142,23 @@ def gradient_summary(df: DataFrame, label: str, overall: str, domains: Sequence[
     """
     names = list(dict.fromkeys([overall, *domains, *outcomes]))
     means = df.groupBy(col(label).alias("label")).agg(*[F.avg(safe_numeric(col(c))).alias(c) for c in names])
-    means = broadcast_if_small(means)
+    rows = few_rows(means, MAX_CLUSTERS, "clusters")
+    means = df.sparkSession.createDataFrame(rows, means.schema)
+    spans = {}
+    for d in domains:
+        known = [r[d] for r in rows if r[d] is not None]
+        if known:
+            spans[d] = max(known) - min(known)
+    widest = max(spans, key=spans.get) if spans else None
     order = means.withColumn("__order", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(col(overall), "label")))
     long = order.select("__order", F.inline(F.array(*[
         F.struct(F.lit(o).alias("outcome"), col(o).alias("value")) for o in outcomes])))
     ends = long.groupBy("outcome").agg(F.min_by("value", "__order").alias("worst_value"),
                                        F.max_by("value", "__order").alias("best_value"))
     rho = spearman(long, "__order", "value", ["outcome"]).select("outcome", F.col("spearman").alias("order_spearman"))
-    spans = means.agg(*[(F.max(col(d)) - F.min(col(d))).alias(f"r{i}") for i, d in enumerate(domains)])
-    widest = spans.select(F.inline(F.array(*[
-        F.struct(F.lit(1).alias("one"), F.lit(d).alias("domain"), F.col(f"r{i}").alias("r"), F.lit(-i).alias("first"))
-        for i, d in enumerate(domains)]))).groupBy("one").agg(
-        F.max_by("domain", F.struct("r", "first")).alias("top_domain"), F.max("r").alias("top_range"))
-    return (ends.join(rho, "outcome").withColumn("one", F.lit(1)).join(F.broadcast(widest), "one")
-            .select("outcome", "worst_value", "best_value", "order_spearman", "top_domain", "top_range"))
+    return ends.join(rho, "outcome").select(
+        "outcome", "worst_value", "best_value", "order_spearman", F.lit(widest).cast("string").alias("top_domain"),
+        F.lit(spans.get(widest)).cast("double").alias("top_range"))
 
 
 def pseudotime(df: DataFrame, id_col: str, vec: str, outcome: str, low: float = 0.25, high: float = 0.75) -> DataFrame:
@@ -193,9 +196,23 @@ def cluster_medoids(df: DataFrame, id_col: str, vec: str, label: str, n: int = 3
 def worst_and_healthiest(df: DataFrame, label: str, outcome: str):
     """Cluster numbers with the highest and the lowest mean outcome."""
     means = df.groupBy(col(label).alias("label")).agg(F.avg(safe_numeric(col(outcome))).alias("m"))
-    row = one_row(means.agg(F.max_by("label", F.struct("m", "label")).alias("worst"),
-                            F.min_by("label", F.struct("m", "label")).alias("best")))
-    return row["worst"], row["best"]
+    return _ends(few_rows(means, MAX_CLUSTERS, "clusters"))
+
+
+def _ends(means) -> tuple:
+    """Ties in the mean are settled by the label."""
+    known = sorted((r for r in means if r["m"] is not None), key=lambda r: (r["m"], r["label"]))
+    return known[-1]["label"], known[0]["label"]
+
+
+def _spread(parts) -> float | None:
+    """Sample deviation of a column from its (count, mean, squares) per cluster."""
+    parts = [p for p in parts if p[0]]
+    n = sum(p[0] for p in parts)
+    if n < 2:
+        return None
+    mean = sum(c * m for c, m, _ in parts) / n
+    return (sum(w + c * (m - mean) ** 2 for c, m, w in parts) / (n - 1)) ** 0.5
 
 
 def prototype_counterfactual(df: DataFrame, id_col: str, vec: str, label: str, outcome: str,
@@ -203,28 +220,37 @@ def prototype_counterfactual(df: DataFrame, id_col: str, vec: str, label: str, o
     """The worst cluster's medoids, each with its nearest row of the healthiest cluster and their
     ``top`` largest differences as text.
 
-    The few medoids are joined to the healthiest cluster by its number and each keeps one
-    nearest row, so the rows of that cluster are scanned once and never shuffled.
+    Three passes: one summary per cluster (ends, centres, deviations), the medoids as a top-n, and
+    one scan of the healthiest cluster that keeps the nearest row per medoid without a shuffle of rows.
     """
-    worst, healthiest = worst_and_healthiest(df, label, outcome)
-    shown = {c: readable_value(col(c)) for c in fields}
+    number = {c: safe_numeric(col(c).cast("string")) for c in fields}
+    summary = few_rows(
+        df.groupBy(col(label).alias("label")).agg(
+            F.avg(safe_numeric(col(outcome))).alias("m"),
+            Summarizer.mean(array_to_vector(doubles(col(vec)))).alias("centre"),
+            *[x for i, v in enumerate(number.values()) for x in (
+                F.count(v).alias(f"n{i}"), F.avg(v).alias(f"a{i}"), (F.var_pop(v) * F.count(v)).alias(f"w{i}"))]),
+        MAX_CLUSTERS, "clusters")
+    worst, healthiest = _ends(summary)
+    centre = next(r["centre"] for r in summary if r["label"] == worst).toArray()
+    spread = [_spread([(r[f"n{i}"], r[f"a{i}"], r[f"w{i}"]) for r in summary]) for i in range(len(fields))]
     facts = F.struct(col(id_col).alias("id"), col(outcome).alias("outcome"),
                      *[x for i, c in enumerate(fields) for x in (
-                         safe_numeric(col(c).cast("string")).alias(f"x{i}"),
-                         col(c).cast("string").alias(f"r{i}"), shown[c].alias(f"s{i}"))])
+                         number[c].alias(f"x{i}"), col(c).cast("string").alias(f"r{i}"),
+                         readable_value(col(c)).alias(f"s{i}"))])
     rows = df.select(col(label).alias("label"), doubles(col(vec)).alias("v"), facts.alias("facts"))
-    medoid = cluster_medoids(df, id_col, vec, label, n, [worst]).select("id", "place")
-    queries = (rows.filter(F.col("label") == worst).join(broadcast_if_small(medoid, n), F.col("facts.id") == F.col("id"))
-               .select("place", F.col("v").alias("qv"), F.col("facts").alias("q"), F.lit(healthiest).alias("label")))
-    near = (rows.filter(F.col("label") == healthiest).join(broadcast_if_small(queries, n), "label")
-            .select("place", "q", "facts", squared_distance(F.col("v"), F.col("qv")).alias("d"))
-            .groupBy("place").agg(F.first("q").alias("q"), F.min_by("facts", F.struct("d", "facts.id")).alias("c")))
-    spread = one_row(df.agg(*[F.stddev_samp(safe_numeric(col(c).cast("string"))).alias(f"s{i}")
-                              for i, c in enumerate(fields)]))
+    medoids = (rows.filter(F.col("label") == worst)
+               .withColumn("d", squared_distance(F.col("v"), literal(centre)))
+               .orderBy("d", "facts.id").limit(n)
+               .select(F.lit(healthiest).alias("label"), F.col("v").alias("qv"), F.col("facts").alias("q")))
+    near = (rows.filter(F.col("label") == healthiest).join(broadcast_if_small(medoids, n), "label")
+            .select("q", "facts", squared_distance(F.col("v"), F.col("qv")).alias("d"))
+            .groupBy(F.col("q.id").alias("qid")).agg(
+                F.first("q").alias("q"), F.min_by("facts", F.struct("d", "facts.id")).alias("c")))
     diffs = []
     for i, c in enumerate(fields):
         a, b = F.col(f"q.x{i}"), F.col(f"c.x{i}")
-        numeric = F.abs(a - b) / ((spread[f"s{i}"] or 1.0) + 1e-6)
+        numeric = F.abs(a - b) / ((spread[i] or 1.0) + 1e-6)
         differs = ~F.col(f"q.r{i}").eqNullSafe(F.col(f"c.r{i}"))
         size = F.when(a.isNotNull() & b.isNotNull(), numeric).when(differs, 1.0)
         text = F.concat(F.lit(f"{c}: "), F.col(f"q.s{i}"), F.lit(" -> "), F.col(f"c.s{i}"))
@@ -240,15 +266,22 @@ def prototype_counterfactual(df: DataFrame, id_col: str, vec: str, label: str, o
 def direction_table(df: DataFrame, label: str, outcome: str, columns: Sequence[str],
                     min_present: float = 0.7) -> DataFrame:
     """(feature, healthy_mean, worst_mean, delta, standardized_delta), largest absolute shift first."""
-    worst, healthiest = worst_and_healthiest(df, label, outcome)
-    inside = lambda which, v: F.avg(F.when(col(label) == F.lit(which), v))
-    wide = df.agg(F.count(F.lit(1)).alias("__n"), *[x for i, c in enumerate(columns) for v in [safe_numeric(col(c))] for x in (
-        F.count(v).alias(f"n{i}"), F.stddev_samp(v).alias(f"s{i}"), inside(healthiest, v).alias(f"h{i}"), inside(worst, v).alias(f"w{i}"))])
-    long = wide.select("__n", F.inline(F.array(*[F.struct(
-        F.lit(c).alias("feature"), F.col(f"n{i}").alias("n"), F.col(f"s{i}").alias("sd"),
-        F.col(f"h{i}").alias("healthy_mean"), F.col(f"w{i}").alias("worst_mean")) for i, c in enumerate(columns)])))
-    delta = F.col("healthy_mean") - F.col("worst_mean")
-    return (long.filter((F.col("n") / F.col("__n") >= min_present) & (F.col("sd") > 0))
-            .select("feature", "healthy_mean", "worst_mean", delta.alias("delta"),
-                    (delta / (F.col("sd") + 1e-8)).alias("standardized_delta"))
-            .orderBy(F.desc(F.abs("standardized_delta")), "feature"))
+    means = df.groupBy(col(label).alias("label")).agg(
+        F.count(F.lit(1)).alias("rows"), F.avg(safe_numeric(col(outcome))).alias("m"),
+        *[x for i, c in enumerate(columns) for v in [safe_numeric(col(c))] for x in (
+            F.count(v).alias(f"n{i}"), F.avg(v).alias(f"a{i}"), (F.var_pop(v) * F.count(v)).alias(f"w{i}"))])
+    summary = few_rows(means, MAX_CLUSTERS, "clusters")
+    worst, healthiest = _ends(summary)
+    at = {r["label"]: r for r in summary}
+    n_rows = sum(r["rows"] for r in summary)
+    out = []
+    for i, c in enumerate(columns):
+        spread = _spread([(r[f"n{i}"], r[f"a{i}"], r[f"w{i}"]) for r in summary])
+        present = sum(r[f"n{i}"] for r in summary) / n_rows
+        if present < min_present or not spread:
+            continue
+        good, bad = at[healthiest][f"a{i}"], at[worst][f"a{i}"]
+        delta = None if good is None or bad is None else good - bad
+        out.append((c, good, bad, delta, None if delta is None else delta / (spread + 1e-8)))
+    schema = "feature string, healthy_mean double, worst_mean double, delta double, standardized_delta double"
+    return df.sparkSession.createDataFrame(out, schema).orderBy(F.desc(F.abs("standardized_delta")), "feature")
