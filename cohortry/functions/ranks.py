@@ -22,7 +22,9 @@ from .sizes import few_rows, one_row
 #: distinct values one task may rank in one sorted pass
 MAX_DISTINCT = 2_000_000
 #: rows among which an order statistic is picked with an exact in-memory aggregate
-MAX_CANDIDATES = 1_000_000
+MAX_CANDIDATES = 200_000
+#: the same, summed over the columns that are picked in one job
+MAX_CANDIDATES_PER_JOB = 2_000_000
 #: groups (features, classes) that may be described by one row each on the driver
 MAX_GROUPS = 100_000
 
@@ -32,33 +34,42 @@ def tally(df: DataFrame, *keys: str, n: str = "n") -> DataFrame:
     return df.groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias(n))
 
 
-def _value_ranges(tallies: DataFrame, value: str, by: Sequence[str], n: str, max_distinct: int):
-    """Cut points per group, or None when every group is small enough for one pass."""
+def _value_ranges(tallies: DataFrame, value: str, by: Sequence[str], max_distinct: int):
+    """(number of distinct values, cut points per group); no cut points when one pass per group will do."""
     sizes = few_rows(
         tallies.groupBy(*by).agg(F.approx_count_distinct(value).alias("__d")),
         MAX_GROUPS, "groups of a rank")
     widest = max((r["__d"] for r in sizes), default=0)
+    total = sum(r["__d"] for r in sizes)
     if widest * 1.2 <= max_distinct:
-        return None
+        return total, None
     pieces = max(2, math.ceil(2.4 * widest / max_distinct))
     probs = [i / pieces for i in range(1, pieces)]
     cuts = tallies.groupBy(*by).agg(
         F.array_distinct(F.percentile_approx(value, probs, 50 * pieces)).alias("__cuts"))
     rows = few_rows(cuts, MAX_GROUPS, "groups of a rank")
-    return tallies.sparkSession.createDataFrame(rows, cuts.schema)
+    return total, tallies.sparkSession.createDataFrame(rows, cuts.schema)
 
 
 def with_ranks(tallies: DataFrame, value: str, by: Sequence[str] = (), n: str = "n",
                rank: str = "avg_rank", before: str | None = None, peers: str | None = None,
-               max_distinct: int = MAX_DISTINCT) -> DataFrame:
+               max_distinct: int = MAX_DISTINCT, many_per_value: bool = False) -> DataFrame:
     """Add the average-tie rank of ``value`` within ``by`` to a tally table.
 
-    ``tallies`` may hold more keys than ``by + value`` (say, the cluster): rows
-    with equal value are peers whatever else they carry. ``before`` / ``peers``
-    optionally name columns with the number of smaller and of equal rows.
+    ``tallies`` may hold more keys than ``by + value``: rows with equal value are peers
+    whatever else they carry. If those can be many per value (and not just a few classes),
+    ``many_per_value`` ranks the distinct values alone and joins the ranks back, so that a
+    frequent value is one row in the ranking. ``before`` / ``peers`` optionally name
+    columns with the number of smaller and of equal rows.
     """
     by = list(by)
-    ranges = _value_ranges(tallies, value, by, n, max_distinct)
+    if many_per_value:
+        values = tallies.groupBy(*by, value).agg(F.sum(n).alias(n))
+        ranked = with_ranks(values, value, by, n, rank, before, peers, max_distinct).drop(n)
+        if _value_ranges(tallies, value, by, max_distinct)[0] <= 20_000:
+            ranked = F.broadcast(ranked)  # one row per distinct value, counted just above
+        return tallies.join(ranked, [*by, value])
+    _, ranges = _value_ranges(tallies, value, by, max_distinct)
     if ranges is None:
         part, shift, src = by, F.lit(0).cast("long"), tallies
     else:
@@ -132,6 +143,18 @@ class _NotNarrowing(Exception):
     pass
 
 
+def _portions(items: list, size) -> list[list]:
+    """Split so that the sizes of one portion add up to what one job may hold in memory."""
+    out, held = [], math.inf
+    for item in items:
+        if held + size(item) > MAX_CANDIDATES_PER_JOB:
+            out.append([])
+            held = 0
+        out[-1].append(item)
+        held += size(item)
+    return out
+
+
 def _by_full_ranks(df: DataFrame, bracket: _Bracket) -> float:
     """Order statistic from the complete rank table: the way out when sketches cannot narrow."""
     values = df.select(bracket.value.alias("v")).filter("v IS NOT NULL")
@@ -148,7 +171,7 @@ def exact_quantiles(df: DataFrame, wanted: dict[str, tuple[Column, Sequence[floa
     """Linearly interpolated quantiles, exact at any table size.
 
     ``wanted`` maps a name to (value, probabilities). Small columns use the exact
-    ``percentile`` aggregate, all of them in one job. That aggregate keeps every
+    ``percentile`` aggregate, as many as fit in one job. That aggregate keeps every
     distinct value in memory, so for a large column a sketch first brackets the
     position, the bracket is counted exactly, and only when few enough rows are
     left inside is the value picked; each round is one scan without a shuffle of rows.
@@ -163,8 +186,8 @@ def exact_quantiles(df: DataFrame, wanted: dict[str, tuple[Column, Sequence[floa
         counts = {k: found[f"n{i}"] for i, k in enumerate(names)}
     total = {k: counts[k] for k in names}
     out: dict[str, list[float | None]] = {k: [None] * len(wanted[k][1]) for k in names}
-    small = [k for k in names if 0 < total[k] <= max_candidates]
-    if small:
+    few = [k for k in names if 0 < total[k] <= max_candidates]
+    for small in _portions(few, total.get):
         got = one_row(df.agg(*[F.percentile(values[k], list(map(float, wanted[k][1]))).alias(f"q{i}")
                                for i, k in enumerate(small)]))
         for i, k in enumerate(small):
@@ -177,8 +200,8 @@ def exact_quantiles(df: DataFrame, wanted: dict[str, tuple[Column, Sequence[floa
             _narrow(df, wide, accuracy)
     except _NotNarrowing:
         pass
-    fits = [t for t in brackets if t[2].inside <= max_candidates]
-    if fits:
+    narrow = [t for t in brackets if t[2].inside <= max_candidates]
+    for fits in _portions(narrow, lambda t: t[2].inside):
         picks = one_row(df.agg(*[
             F.percentile(b.contains(), (b.position - b.below) / max(b.inside - 1, 1)).alias(f"p{i}")
             for i, (_, _, b) in enumerate(fits)]))

@@ -265,12 +265,13 @@ def external_separation(df: DataFrame, label: str, columns: Sequence[str], min_v
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = (), **rank_options) -> DataFrame:
     """(by..., n, spearman): average ranks, pairs with a missing side left out.
 
-    Ranks are taken over tallies of equal pairs, so there is no join back to the rows.
+    Ranks are taken over the distinct values and joined to tallies of equal pairs, never to the rows.
     """
     by = list(by)
     pairs = df.select(*[col(b) for b in by], safe_numeric(col(x)).alias("__x"), safe_numeric(col(y)).alias("__y"))
     counted = tally(pairs.filter("__x IS NOT NULL AND __y IS NOT NULL"), *by, "__x", "__y")
-    ranked = with_ranks(with_ranks(counted, "__x", by, rank="__rx", **rank_options), "__y", by, rank="__ry", **rank_options)
+    options = {"many_per_value": True, **rank_options}
+    ranked = with_ranks(with_ranks(counted, "__x", by, rank="__rx", **options), "__y", by, rank="__ry", **options)
     w = F.col("n").cast("double")
     rx, ry = F.col("__rx"), F.col("__ry")
     sums = ranked.groupBy(*by).agg(F.sum(w).alias("n"), F.sum(w * rx).alias("sx"), F.sum(w * ry).alias("sy"),

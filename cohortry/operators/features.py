@@ -268,34 +268,38 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
-def with_bigrams(tokens: Column) -> Column:
-    """The tokens and their neighbouring pairs."""
-    n = F.size(tokens)
-    pairs = F.zip_with(F.slice(tokens, F.lit(1), F.greatest(n - 1, F.lit(0))),
-                       F.slice(tokens, F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.when(n < 2, tokens).otherwise(F.concat(tokens, pairs))
+def terms_of(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, term), one row per word and per pair of neighbouring words."""
+    split = texts.select(col(id_col).alias("id"), words(col(text_col)).alias("w"))
+    # zip and explode stay in generated code, where lambda functions over arrays would not
+    after = F.slice("w", F.lit(2), F.greatest(F.size("w"), F.lit(1)))
+    pairs = split.select("id", F.inline(F.arrays_zip(F.col("w").alias("a"), after.alias("b"))))
+    both = F.array(F.col("a"), F.concat(F.col("a"), F.lit(" "), F.col("b")))
+    return pairs.select("id", F.explode(both).alias("term")).filter(F.col("term").isNotNull())
 
 
 def tfidf_terms(df: DataFrame, id_col: str, text_col: str, min_df: int = 5, max_features: int = 4096,
                 n_docs: int | None = None) -> DataFrame:
     """(id, term, tf, df, idf, weight): word 1-2-grams, smoothed idf, weights of length one per text.
 
-    Texts are shuffled once, by id and before they are split, so counting within a
-    text and its norm need no further shuffle. The vocabulary is a top-k and hence
-    small enough to broadcast, however often a single word occurs.
+    The vocabulary is a top-k and hence small enough to broadcast, however often a single
+    word occurs. Texts are shuffled once, by id and before they are split, so counting
+    within a text and its norm need no further shuffle, and only words of the vocabulary
+    are counted.
     """
     docs = df.count() if n_docs is None else n_docs
     # a fixed number of parts: text grows when it is split, so parts must not be merged by their size before
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.select(col(id_col).alias("id"), col(text_col).alias("__text")).repartition(parts, "id")
-    split = placed.select("id", words(F.col("__text")).alias("__words"))
-    counts = (split.select("id", F.explode(with_bigrams(F.col("__words"))).alias("term"))
-              .groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf")))
-    vocabulary = (counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
+    texts = df.select(col(id_col).alias("id"), col(text_col).alias("text")).repartition(parts, "id")
+    terms = terms_of(texts, "id", "text")
+    vocabulary = (terms.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+                  .groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
                   .filter(F.col("df") >= min_df).orderBy(F.desc("total"), "term").limit(max_features)
                   .select("term", "df", (F.log((1.0 + docs) / (1.0 + F.col("df"))) + 1.0).alias("idf")))
     vocabulary = broadcast_if_small(vocabulary, max_features)
-    raw = counts.join(vocabulary, "term").withColumn("__w", F.col("tf") * F.col("idf"))
+    counts = terms.join(vocabulary, "term").groupBy("id", "term").agg(
+        F.count(F.lit(1)).alias("tf"), F.first("df").alias("df"), F.first("idf").alias("idf"))
+    raw = counts.withColumn("__w", F.col("tf") * F.col("idf"))
     length = F.sqrt(F.sum(F.col("__w") * F.col("__w")).over(W.partitionBy("id")))
     return raw.select("id", "term", "tf", "df", "idf", (F.col("__w") / length).alias("weight"))
 

@@ -13,10 +13,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import col, is_true, safe_numeric
-from ..functions.ranks import MAX_GROUPS, exact_quantiles, lowest_k, stable_key, tally, with_ranks
+from ..functions.ranks import exact_quantiles, lowest_k, stable_key, tally, with_ranks
 from ..functions.sizes import few_rows, one_row
 
 
+#: classes a split may be stratified by
+MAX_CLASSES = 1_000
+
+
 def quantile_label(df: DataFrame, column: str, out: str, share: float = 0.25, drop_missing: bool = False) -> DataFrame:
     """Add 1 where the value is at or under its ``share`` quantile, else 0.
 
@@ -36,7 +40,7 @@ def stratified_split(df: DataFrame, id_col: str, label: str, test_share: float =
     Rows are chosen by a hash of their id, so the split is the same on any cluster. The
     cut per class is found by exact selection: no class is sorted in one task.
     """
-    sizes = few_rows(df.groupBy(col(label).alias("y")).agg(F.count(F.lit(1)).alias("n")), MAX_GROUPS, "classes")
+    sizes = few_rows(df.groupBy(col(label).alias("y")).agg(F.count(F.lit(1)).alias("n")), MAX_CLASSES, "classes")
     take = {r["y"]: int(np.floor(test_share * r["n"] + 0.5)) for r in sizes}
     chosen = lowest_k(df, stable_key(col(id_col), seed), col(id_col), take, col(label))
     return df.select("*", is_true(chosen).cast("int").alias(out))
