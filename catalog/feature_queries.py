@@ -185,8 +185,7 @@ SELECT id, CAST(UNNEST(range(len(m))) AS INT) AS pos, UNNEST([{r6('v')} FOR v IN
   UNNEST([{r6('v / SQRT(list_inner_product(m, m))')} FOR v IN m]) AS unit_mean, CAST(both_dims AS INT) AS both_dims FROM fused""")
 def fuse_embeddings(spark, sf):
     own, view = x.vectors(spark, sf).select("id", "embedding"), x.second_view(spark, sf)
-    mean, length_one, both = (e.fuse_embeddings(own, view, "id", "embedding", "view", how, how) for how in ("mean", "unit_mean", "concat"))
-    rows = mean.join(length_one, "id").join(both, "id")
+    rows = e.fuse_embeddings(own, view, "id", "embedding", "view", ["mean", "unit_mean", "concat"])
     return rounded(rows.select("id", F.posexplode(F.arrays_zip("mean", "unit_mean")).alias("pos", "p"), F.size("concat").alias("both_dims"))
                    .select("id", "pos", "p.mean", "p.unit_mean", "both_dims"), "mean", "unit_mean")
 

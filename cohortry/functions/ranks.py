@@ -53,23 +53,34 @@ def _value_ranges(tallies: DataFrame, value: str, by: Sequence[str], max_distinc
 
 def with_ranks(tallies: DataFrame, value: str, by: Sequence[str] = (), n: str = "n",
                rank: str = "avg_rank", before: str | None = None, peers: str | None = None,
-               max_distinct: int = MAX_DISTINCT, many_per_value: bool = False) -> DataFrame:
+               max_distinct: int = MAX_DISTINCT) -> DataFrame:
     """Add the average-tie rank of ``value`` within ``by`` to a tally table.
 
-    ``tallies`` may hold more keys than ``by + value``: rows with equal value are peers
-    whatever else they carry. If those can be many per value (and not just a few classes),
-    ``many_per_value`` ranks the distinct values alone and joins the ranks back, so that a
-    frequent value is one row in the ranking. ``before`` / ``peers`` optionally name
-    columns with the number of smaller and of equal rows.
+    ``tallies`` may hold a few rows per value (say, one per class): rows with equal
+    value are peers whatever else they carry. Where they can be many, use
+    :func:`value_ranks`. ``before`` / ``peers`` optionally name columns with the number
+    of smaller and of equal rows.
     """
     by = list(by)
-    if many_per_value:
-        values = tallies.groupBy(*by, value).agg(F.sum(n).alias(n))
-        ranked = with_ranks(values, value, by, n, rank, before, peers, max_distinct).drop(n)
-        if _value_ranges(tallies, value, by, max_distinct)[0] <= 20_000:
-            ranked = F.broadcast(ranked)  # one row per distinct value, counted just above
-        return tallies.join(ranked, [*by, value])
     _, ranges = _value_ranges(tallies, value, by, max_distinct)
+    return _rank_in_ranges(tallies, value, by, n, rank, before, peers, ranges)
+
+
+def value_ranks(tallies: DataFrame, value: str, by: Sequence[str] = (), n: str = "n", rank: str = "avg_rank",
+                max_distinct: int = MAX_DISTINCT) -> DataFrame:
+    """(by..., value, rank), one row per distinct value, to be joined back.
+
+    A frequent value is one row here, however many tally rows carry it. The result is
+    marked for broadcast when the number of distinct values was found to be small.
+    """
+    by = list(by)
+    total, ranges = _value_ranges(tallies, value, by, max_distinct)
+    values = tallies.groupBy(*by, value).agg(F.sum(n).alias(n))
+    ranked = _rank_in_ranges(values, value, by, n, rank, None, None, ranges).drop(n)
+    return F.broadcast(ranked) if total <= 20_000 else ranked
+
+
+def _rank_in_ranges(tallies, value, by, n, rank, before, peers, ranges) -> DataFrame:
     if ranges is None:
         part, shift, src = by, F.lit(0).cast("long"), tallies
     else:

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import col, melt, safe_numeric
-from ..functions.ranks import lowest_k, stable_key, tally, with_ranks
+from ..functions.ranks import lowest_k, stable_key, tally, value_ranks
 from ..functions.sizes import broadcast_if_small
 from ..functions.vectors import block_pairs, doubles, squared_distance, stack
 
@@ -235,19 +235,23 @@ def group_moments(df: DataFrame, label: str, columns: Sequence[str], by: Sequenc
     return wide.select(*by, "label", F.inline(cells)).filter(F.col("n") > 0)
 
 
-def effect_sizes(moments: DataFrame, by: Sequence[str] = (), min_values: int = 0) -> DataFrame:
-    """(by..., feature, n, eta_squared, max_mean_diff) from :func:`group_moments`."""
+def effect_sizes(moments: DataFrame, by: Sequence[str] = (), min_values: int = 0,
+                 extra: Sequence[Column] = ()) -> DataFrame:
+    """(by..., feature, n, eta_squared, max_mean_diff, varies, extra...) from :func:`group_moments`.
+
+    ``extra`` are further aggregates over the cluster rows of a feature.
+    """
     keys = [*by, "feature"]
     centred = moments.withColumn(
         "grand", F.sum(F.col("n") * F.col("mean")).over(W.partitionBy(*keys)) / F.sum("n").over(W.partitionBy(*keys)))
     out = centred.groupBy(*keys).agg(
-        F.sum("n").alias("n"), F.sum("within").alias("within"),
-        F.sum(F.col("n") * F.pow(F.col("mean") - F.col("grand"), 2)).alias("between"),
-        (F.max("mean") - F.min("mean")).alias("max_mean_diff"))
-    total = F.col("between") + F.col("within")
-    return out.filter(F.col("n") >= min_values).select(
-        *keys, "n", F.when(total > 0, F.col("between") / total).otherwise(0.0).alias("eta_squared"),
-        "max_mean_diff", (total > 0).alias("varies"))
+        F.sum("n").alias("n"), F.sum("within").alias("__within"),
+        F.sum(F.col("n") * F.pow(F.col("mean") - F.col("grand"), 2)).alias("__between"),
+        (F.max("mean") - F.min("mean")).alias("max_mean_diff"), *extra)
+    total = F.col("__between") + F.col("__within")
+    return out.filter(F.col("n") >= min_values).withColumns({
+        "eta_squared": F.when(total > 0, F.col("__between") / total).otherwise(0.0),
+        "varies": total > 0}).drop("__between", "__within")
 
 
 def anova_eta2(df: DataFrame, label: str, columns: Sequence[str]) -> DataFrame:
@@ -270,8 +274,9 @@ def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = (), **rank_optio
     by = list(by)
     pairs = df.select(*[col(b) for b in by], safe_numeric(col(x)).alias("__x"), safe_numeric(col(y)).alias("__y"))
     counted = tally(pairs.filter("__x IS NOT NULL AND __y IS NOT NULL"), *by, "__x", "__y")
-    options = {"many_per_value": True, **rank_options}
-    ranked = with_ranks(with_ranks(counted, "__x", by, rank="__rx", **options), "__y", by, rank="__ry", **options)
+    ranked = counted
+    for value, rank in (("__x", "__rx"), ("__y", "__ry")):
+        ranked = ranked.join(value_ranks(counted, value, by, rank=rank, **rank_options), [*by, value])
     w = F.col("n").cast("double")
     rx, ry = F.col("__rx"), F.col("__ry")
     sums = ranked.groupBy(*by).agg(F.sum(w).alias("n"), F.sum(w * rx).alias("sx"), F.sum(w * ry).alias("sy"),

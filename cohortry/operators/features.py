@@ -95,11 +95,8 @@ def one_hot(df: DataFrame, columns: Sequence[str], levels: Mapping[str, Sequence
 
 def category_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(feature, level, code, cardinality): codes count the sorted levels from 0."""
-    levels = melt(df, [], columns, "feature", "level", numeric=False).distinct()
-    per = W.partitionBy("feature")
-    return levels.select("feature", "level",
-                         (F.row_number().over(per.orderBy("level")) - 1).alias("code"),
-                         F.count(F.lit(1)).over(per).alias("cardinality"))
+    rows = [(c, v, i, len(levels)) for c, levels in levels_of(df, columns).items() for i, v in enumerate(levels)]
+    return df.sparkSession.createDataFrame(rows, "feature string, level string, code int, cardinality long")
 
 
 def encode_categories(df: DataFrame, columns: Sequence[str], unknown: int = -1) -> DataFrame:

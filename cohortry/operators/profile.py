@@ -79,10 +79,10 @@ def top_markers(df: DataFrame, label: str, columns: Sequence[str], clusters: Seq
     moments = group_moments(df, label, columns)
     if clusters is None:
         clusters = sorted(r[0] for r in few_rows(df.select(col(label)).distinct(), 1_000, "clusters"))
-    sizes = effect_sizes(moments, min_values=min_values).select("feature", "eta_squared")
-    means = moments.groupBy("feature").agg(
-        *[F.max(F.when(F.col("label") == F.lit(c), F.col("mean"))).alias(f"cluster_{c}_mean") for c in clusters])
-    return sizes.join(means, "feature").orderBy(F.desc("eta_squared"), "feature")
+    names = {f"cluster_{c}_mean": c for c in clusters}
+    means = [F.max(F.when(F.col("label") == F.lit(c), F.col("mean"))).alias(name) for name, c in names.items()]
+    sizes = effect_sizes(moments, min_values=min_values, extra=means)
+    return sizes.select("feature", "eta_squared", *[col(c) for c in names]).orderBy(F.desc("eta_squared"), "feature")
 
 
 def name_clusters(df: DataFrame, label: str, domains: Mapping[str, str], floor: float = 0.2) -> DataFrame:
