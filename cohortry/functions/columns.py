@@ -43,9 +43,18 @@ def weighted_mean_available(parts: Sequence[tuple[Column, float]]) -> Column:
     return total / F.nullif(weight, F.lit(0.0))
 
 
+#: every blank that text may carry around a value, not just the space
+BLANKS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a" \
+         "\u2028\u2029\u202f\u205f\u3000"
+
+
+def strip(text: Column) -> Column:
+    return F.btrim(text, F.lit(BLANKS))
+
+
 def code_key(col: Column) -> Column:
     """The text key of a code: trimmed, and ``1.0`` read as ``1``."""
-    text = F.trim(col.cast("string"))
+    text = strip(col.cast("string"))
     return F.regexp_replace(text, r"^(-?[0-9]+)\.0+$", "$1")
 
 

@@ -248,27 +248,33 @@ def lowest_k(df: DataFrame, key: Column, tie: Column, k: dict, group: Column | N
     asked = {g: n for g, n in k.items() if n > 0}
     if not asked:
         return F.lit(False)
-    inside = {g: (F.lit(True) if group is None else is_group(group, g)) for g in asked}
-    sizes = one_row(df.agg(*[F.count_if(inside[g]).alias(f"c{i}") for i, g in enumerate(asked)]))
-    wanted, all_of = {}, []
-    for i, (g, n) in enumerate(asked.items()):
-        size = sizes[f"c{i}"]
-        if n >= size:
-            all_of.append(g)
-        else:
-            wanted[str(i)] = (g, F.when(inside[g], key), (n - 1) / (size - 1) if size > 1 else 0.0)
-    cuts = exact_quantiles(df, {i: (c, [p]) for i, (_, c, p) in wanted.items()})
+    # the key is computed once per row and pass, however often it is compared
+    keyed = df.select(key.alias("k"), tie.alias("t"), (F.lit(None) if group is None else group).alias("g"))
+    part = lambda g, column: F.lit(True) if group is None else is_group(column, g)
+    mine = {g: part(g, F.col("g")) for g in asked}
+    sizes = one_row(keyed.agg(*[F.count_if(mine[g]).alias(f"c{i}") for i, g in enumerate(asked)]))
+    size = {g: sizes[f"c{i}"] for i, g in enumerate(asked)}
+    whole = [g for g in asked if asked[g] >= size[g]]
+    cut_groups = [g for g in asked if asked[g] < size[g]]
     chosen = F.lit(False)
-    for g in all_of:
-        chosen = chosen | inside[g]
-    for i, (g, _, _) in wanted.items():
-        cut = round(cuts[i][0])
-        at_cut = df.filter(inside[g] & (key == cut))
-        lower = one_row(df.agg(F.count_if(inside[g] & (key < cut)).alias("n")))["n"]
-        # equal keys are rare and tiny groups: the tie-break column decides among them
-        ties = few_rows(at_cut.select(tie.alias("t")).orderBy("t"), 10_000, "equal hash keys")
-        keep = [r["t"] for r in ties[: asked[g] - lower]]
-        chosen = chosen | (inside[g] & ((key < cut) | ((key == cut) & tie.isin(keep))))
+    for g in whole:
+        chosen = chosen | part(g, group)
+    if not cut_groups:
+        return chosen
+    found = exact_quantiles(
+        keyed, {str(i): (F.when(mine[g], F.col("k")), [(asked[g] - 1) / (size[g] - 1)]) for i, g in enumerate(cut_groups)},
+        counts={str(i): size[g] for i, g in enumerate(cut_groups)})
+    cuts = {g: round(found[str(i)][0]) for i, g in enumerate(cut_groups)}
+    lower = one_row(keyed.agg(*[F.count_if(mine[g] & (F.col("k") < cuts[g])).alias(f"n{i}") for i, g in enumerate(cut_groups)]))
+    # rows at a cut share their key with few others or none; the tie-break column decides among them
+    slot = F.lit(None).cast("int")
+    for i, g in enumerate(cut_groups):
+        slot = F.when(mine[g] & (F.col("k") == cuts[g]), i).otherwise(slot)
+    at_cut = keyed.select(slot.alias("i"), "t").filter(F.col("i").isNotNull())
+    ties = few_rows(at_cut.orderBy("t"), 10_000 * len(cut_groups), "equal keys at a cut")
+    for i, g in enumerate(cut_groups):
+        keep = [r["t"] for r in ties if r["i"] == i][: asked[g] - lower[f"n{i}"]]
+        chosen = chosen | (part(g, group) & ((key < cuts[g]) | ((key == cuts[g]) & tie.isin(keep))))
     return chosen
 
 

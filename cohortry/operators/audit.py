@@ -27,7 +27,7 @@ def _as_date(c: str) -> Column:
     return F.try_to_timestamp(col(c).cast("string"))
 
 
-def column_facts(df: DataFrame, columns: Sequence[str] | None = None) -> dict[str, dict]:
+def column_facts(df: DataFrame, columns: Sequence[str] | None = None, date_word: str = DATE_WORD) -> dict[str, dict]:
     """Per column: rows, present and numeric cells, share of dates, mean and squared deviations of the
     numbers, and distinct counts that are exact when small.
 
@@ -38,7 +38,7 @@ def column_facts(df: DataFrame, columns: Sequence[str] | None = None) -> dict[st
     if not columns:
         return {}
     number = {c: safe_numeric(col(c).cast("string") if is_text(df, c) or not _is_number(df, c) else col(c)) for c in columns}
-    dated = [c for c in columns if DATE_WORD in c or "date" in c.lower()]
+    dated = [c for c in columns if date_word in c]
     first = one_row(df.agg(F.count(F.lit(1)).alias("n"), *[x for i, c in enumerate(columns) for x in (
         F.count(col(c)).alias(f"here{i}"), F.count(number[c]).alias(f"num{i}"),
         F.avg(number[c]).alias(f"m{i}"), F.var_pop(number[c]).alias(f"v{i}"),
@@ -87,7 +87,7 @@ def column_kind(name: str, facts: dict, date_word: str = DATE_WORD,
 def classify_columns(df: DataFrame, date_word: str = DATE_WORD,
                      numeric_keywords: Sequence[str] = NUMERIC_KEYWORDS) -> DataFrame:
     """(column, kind): date, numeric, categorical or text."""
-    facts = column_facts(df)
+    facts = column_facts(df, date_word=date_word)
     return _local(df, [(c, column_kind(c, f, date_word, numeric_keywords)) for c, f in facts.items()],
                   "column string, kind string")
 
@@ -95,7 +95,7 @@ def classify_columns(df: DataFrame, date_word: str = DATE_WORD,
 def profile_table(df: DataFrame, id_col: str, date_word: str = DATE_WORD,
                   numeric_keywords: Sequence[str] = NUMERIC_KEYWORDS) -> DataFrame:
     """One row: rows, columns, distinct and missing ids, and the number of columns of each kind."""
-    kinds = [column_kind(c, f, date_word, numeric_keywords) for c, f in column_facts(df).items()]
+    kinds = [column_kind(c, f, date_word, numeric_keywords) for c, f in column_facts(df, date_word=date_word).items()]
     return df.agg(
         F.count(F.lit(1)).alias("n_rows"), F.lit(len(df.columns)).cast("long").alias("n_columns"),
         F.count_distinct(col(id_col)).alias("id_distinct"),

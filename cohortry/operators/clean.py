@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import clip, code_key, col, fixed, is_text, melt, safe_numeric
+from ..functions.columns import clip, code_key, col, fixed, is_text, melt, safe_numeric, strip
 from ..functions.ranks import exact_quantiles, medians
 from ..functions.sizes import few_rows, one_row
 from ..presets import MISSING_TOKENS
@@ -18,7 +18,7 @@ def normalize_missing(df: DataFrame, tokens: Sequence[str] = MISSING_TOKENS) ->
     def cell(c: str) -> Column:
         if not is_text(df, c):
             return col(c)
-        bare = F.upper(F.trim(col(c)))
+        bare = F.upper(strip(col(c)))
         return F.when(~bare.isin(*tokens, ""), col(c)).alias(c)
     return df.select([cell(c) for c in df.columns])
 
@@ -45,7 +45,7 @@ _CODE_FIRST = {"code_label"}
 def _tidy(block: Column, form: str) -> Column:
     text = F.regexp_replace(block, "，", ",")
     if form == "label_code":
-        text = F.regexp_replace(F.regexp_replace(text, "[、：]", " "), r"\s+", " ")
+        text = F.regexp_replace(F.regexp_replace(text, "[、：]", " "), r"(?U)\s+", " ")
     return text
 
 
@@ -62,7 +62,7 @@ def codebook_extract(blocks: DataFrame, form: str, field: str = "field", block:
                            _tidy(col(block), form).alias("__text"))
              .select("field", *(["__order"] if order else []),
                      F.posexplode(F.arrays_zip(code.alias("code"), label.alias("label"))).alias("__at", "p")))
-    pairs = pairs.select("field", F.trim("p.code").alias("code"), F.trim("p.label").alias("label"),
+    pairs = pairs.select("field", strip(F.col("p.code")).alias("code"), strip(F.col("p.label")).alias("label"),
                          F.struct(*(["__order"] if order else []), "__at").alias("__place"))
     return (pairs.filter((F.col("code") != "") & (F.col("label") != ""))
             .groupBy("field", "code").agg(F.max_by("label", "__place").alias("label")))
@@ -109,7 +109,7 @@ def codebook_apply(df: DataFrame, codebook: DataFrame, columns: Sequence[str],
 def readable_value(value: Column, labels: Mapping[str, str] | None = None, flag: bool = False,
                    missing: str | None = "missing", yes: str = "yes", no: str = "no") -> Column:
     """Display text: the label if known, yes / no for flags, whole numbers without decimals, else two."""
-    text = F.trim(value.cast("string"))
+    text = strip(value.cast("string"))
     number = safe_numeric(text)
     shown = F.when(number == F.floor(number), number.cast("decimal(38,0)").cast("string")) \
         .when(number.isNotNull(), fixed(number, 2)).otherwise(text)

@@ -47,7 +47,7 @@ def test_csv_needs_a_schema(spark):
 # --- cleaning ----------------------------------------------------------------------
 
 def test_normalize_missing_keeps_blanks_around_values(spark):
-    df = spark.createDataFrame([(" nd ",), ("  ",), (" a ",), ("N\\A",), ("0",), (None,)], "x string")
+    df = spark.createDataFrame([(" nd ",), (" \t\u3000\n",), (" a ",), ("N\\A\t",), ("0",), (None,)], "x string")
     assert [x["x"] for x in clean.normalize_missing(df).collect()] == [None, None, " a ", None, "0", None]
 
 
