@@ -34,10 +34,15 @@ def tally(df: DataFrame, *keys: str, n: str = "n") -> DataFrame:
     return df.groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias(n))
 
 
-def _value_ranges(tallies: DataFrame, value: str, by: Sequence[str], max_distinct: int):
-    """(number of distinct values, cut points per group); no cut points when one pass per group will do."""
+def _value_ranges(tallies: DataFrame, rows: DataFrame | None, value: str, by: Sequence[str], max_distinct: int):
+    """(number of distinct values, cut points per group); no cut points when one pass per group will do.
+
+    The number is sketched on ``rows``, the source of the tallies, where that is given: this
+    takes a scan and no shuffle. Cut points come from the tallies, so that they balance
+    distinct values however the rows are spread over them.
+    """
     sizes = few_rows(
-        tallies.groupBy(*by).agg(F.approx_count_distinct(value).alias("__d")),
+        (tallies if rows is None else rows).groupBy(*by).agg(F.approx_count_distinct(value).alias("__d")),
         MAX_GROUPS, "groups of a rank")
     widest = max((r["__d"] for r in sizes), default=0)
     total = sum(r["__d"] for r in sizes)
@@ -53,28 +58,28 @@ def _value_ranges(tallies: DataFrame, value: str, by: Sequence[str], max_distinc
 
 def with_ranks(tallies: DataFrame, value: str, by: Sequence[str] = (), n: str = "n",
                rank: str = "avg_rank", before: str | None = None, peers: str | None = None,
-               max_distinct: int = MAX_DISTINCT) -> DataFrame:
+               max_distinct: int = MAX_DISTINCT, rows: DataFrame | None = None) -> DataFrame:
     """Add the average-tie rank of ``value`` within ``by`` to a tally table.
 
     ``tallies`` may hold a few rows per value (say, one per class): rows with equal
     value are peers whatever else they carry. Where they can be many, use
     :func:`value_ranks`. ``before`` / ``peers`` optionally name columns with the number
-    of smaller and of equal rows.
+    of smaller and of equal rows. ``rows`` is the source of the tallies, if at hand.
     """
     by = list(by)
-    _, ranges = _value_ranges(tallies, value, by, max_distinct)
+    _, ranges = _value_ranges(tallies, rows, value, by, max_distinct)
     return _rank_in_ranges(tallies, value, by, n, rank, before, peers, ranges)
 
 
 def value_ranks(tallies: DataFrame, value: str, by: Sequence[str] = (), n: str = "n", rank: str = "avg_rank",
-                max_distinct: int = MAX_DISTINCT) -> DataFrame:
+                max_distinct: int = MAX_DISTINCT, rows: DataFrame | None = None) -> DataFrame:
     """(by..., value, rank), one row per distinct value, to be joined back.
 
     A frequent value is one row here, however many tally rows carry it. The result is
     marked for broadcast when the number of distinct values was found to be small.
     """
     by = list(by)
-    total, ranges = _value_ranges(tallies, value, by, max_distinct)
+    total, ranges = _value_ranges(tallies, rows, value, by, max_distinct)
     values = tallies.groupBy(*by, value).agg(F.sum(n).alias(n))
     ranked = _rank_in_ranges(values, value, by, n, rank, None, None, ranges).drop(n)
     return F.broadcast(ranked) if total <= 20_000 else ranked

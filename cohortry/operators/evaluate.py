@@ -273,10 +273,11 @@ def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = (), **rank_optio
     """
     by = list(by)
     pairs = df.select(*[col(b) for b in by], safe_numeric(col(x)).alias("__x"), safe_numeric(col(y)).alias("__y"))
-    counted = tally(pairs.filter("__x IS NOT NULL AND __y IS NOT NULL"), *by, "__x", "__y")
+    pairs = pairs.filter("__x IS NOT NULL AND __y IS NOT NULL")
+    counted = tally(pairs, *by, "__x", "__y")
     ranked = counted
     for value, rank in (("__x", "__rx"), ("__y", "__ry")):
-        ranked = ranked.join(value_ranks(counted, value, by, rank=rank, **rank_options), [*by, value])
+        ranked = ranked.join(value_ranks(counted, value, by, rank=rank, rows=pairs, **rank_options), [*by, value])
     w = F.col("n").cast("double")
     rx, ry = F.col("__rx"), F.col("__ry")
     sums = ranked.groupBy(*by).agg(F.sum(w).alias("n"), F.sum(w * rx).alias("sx"), F.sum(w * ry).alias("sy"),

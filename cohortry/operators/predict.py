@@ -64,7 +64,7 @@ def auc_by_ranks(df: DataFrame, positive: str, score: str, by: Sequence[str] = (
     """(by..., auc): Mann-Whitney with average ranks over tallies of equal scores."""
     by = list(by)
     cells = tally(df, *by, score, positive)
-    ranked = with_ranks(cells, score, by, rank="__r", **rank_options)
+    ranked = with_ranks(cells, score, by, rank="__r", rows=df, **rank_options)
     pos, n = F.col(positive) == 1, F.col("n").cast("double")
     sums = ranked.groupBy(*by).agg(
         F.sum(F.when(pos, n * F.col("__r"))).alias("r"),
@@ -84,7 +84,7 @@ def binary_metrics(df: DataFrame, y: str, predicted: str, score: str, by: Sequen
                     col(score).cast("double").alias("score"))
     # one tally feeds the counts and the ranks
     cells = src.groupBy(*by, "score", "y").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("yhat") == 1).alias("hot"))
-    ranked = with_ranks(cells, "score", by, rank="r")
+    ranked = with_ranks(cells, "score", by, rank="r", rows=src)
     pos = F.col("y") == 1
     s = ranked.groupBy(*by).agg(
         F.sum("n").alias("n"), F.sum(F.when(pos, F.col("n")).otherwise(0)).alias("p"),

@@ -34,7 +34,7 @@ def kruskal_wallis(df: DataFrame, label: str, columns: Sequence[str], **rank_opt
     """
     long = melt(df, [label], columns).withColumnRenamed(label, "label")
     cells = long.groupBy("feature", "value", "label").agg(F.count(F.lit(1)).alias("n"))
-    ranked = with_ranks(cells, "value", ["feature"], rank="rank", peers="ties", **rank_options)
+    ranked = with_ranks(cells, "value", ["feature"], rank="rank", peers="ties", rows=long, **rank_options)
     n, ties = F.col("n").cast("double"), F.col("ties").cast("double")
     # sum over the cells of one value of n (t^2 - 1) is t^3 - t
     groups = ranked.groupBy("feature", "label").agg(
