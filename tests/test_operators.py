@@ -321,9 +321,9 @@ CANDIDATES = [
     ("PCA", "kmeans", 4, 0.076994, 2.777851, 0.656434, 0.193361, 0.234876),
     ("PCA", "kmeans", 5, 0.078779, 2.230499, 0.983257, 0.000166, 0.234477),
     ("PCA", "gmm", 4, 0.087129, 5.030686, 0.844447, 0.115353, 0.149632),
-    ("GroupMaskedFT", "kmeans", 3, 0.310670, 1.464987, 0.987797, 0.239834, 0.217217),
-    ("GroupMaskedFT", "kmeans", 4, 0.237955, 1.532204, 0.991035, 0.210954, 0.230392),
-    ("GroupMaskedFT", "gmm", 4, 0.208552, 1.371164, 0.900502, 0.204315, 0.238399),
+    ("Masked", "kmeans", 3, 0.310670, 1.464987, 0.987797, 0.239834, 0.217217),
+    ("Masked", "kmeans", 4, 0.237955, 1.532204, 0.991035, 0.210954, 0.230392),
+    ("Masked", "gmm", 4, 0.208552, 1.371164, 0.900502, 0.204315, 0.238399),
 ]
 CANDIDATE_SCHEMA = ("method string, clusterer string, k int, silhouette double, davies_bouldin double, stability_ari double, "
                     "min_cluster_ratio double, external_separation double")
@@ -332,9 +332,9 @@ CANDIDATE_SCHEMA = ("method string, clusterer string, k int, silhouette double,
 def test_weighted_choice(spark):
     grid = spark.createDataFrame(CANDIDATES, CANDIDATE_SCHEMA)
     got = {r["method"]: (r["clusterer"], r["k"], round(r["selection_score"], 4)) for r in evaluate.select_weighted_score(grid).collect()}
-    assert got == {"PCA": ("kmeans", 3, 0.3610), "GroupMaskedFT": ("kmeans", 3, 0.4347)}
+    assert got == {"PCA": ("kmeans", 3, 0.3610), "Masked": ("kmeans", 3, 0.4347)}
     ranked = evaluate.method_ranking(grid, evaluate.select_weighted_score(grid)).orderBy("rank").collect()
-    assert [r["method"] for r in ranked] == ["PCA", "GroupMaskedFT"]
+    assert [r["method"] for r in ranked] == ["PCA", "Masked"]
 
 
 def test_minmax_choice(spark):
