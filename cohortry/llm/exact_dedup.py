@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 
 from .shared import fresh_path, stored
 
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# state on local disk only while a task works on it; what is retained lies in the shared folder
+_STATE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+          "spark.sql.streaming.stateStore.unloadOnCommit": "true"}
 _RECORD = "digest string, id long, file string, row long"
 
 
@@ -58,9 +60,9 @@ class Ledger:
         """Append records (digest, id, file, row) and bring the state up to date."""
         records.write.mode("append").parquet(f"{self.home}/records")
         conf = self.spark.conf
-        key = "spark.sql.streaming.stateStore.providerClass"
-        before = conf.get(key)
-        conf.set(key, _ROCKS)
+        before = {key: conf.get(key) for key in _STATE}
+        for key, value in _STATE.items():
+            conf.set(key, value)
         try:
             seen = self.spark.readStream.schema(_RECORD).parquet(f"{self.home}/records")
             state = seen.groupBy("digest").agg(F.max(F.struct("id", "file", "row")).alias("kept"), F.count(F.lit(1)).alias("n"))
@@ -68,7 +70,8 @@ class Ledger:
                    .option("checkpointLocation", f"{self.home}/state").start())
             run.awaitTermination()
         finally:
-            conf.set(key, before)
+            for key, value in before.items():
+                conf.set(key, value)
 
     def records(self) -> DataFrame:
         return self.spark.read.schema(_RECORD).parquet(f"{self.home}/records")
