@@ -13,9 +13,14 @@ from . import fixtures as x
 from .registry import query, r6, rounded
 
 
+def _shared(spark) -> str:
+    """Where no checkpoint folder is set: the warehouse, which a cluster shares."""
+    return spark.conf.get("spark.sql.warehouse.dir")
+
+
 def _scratch(spark, name: str) -> str:
-    """A fresh folder under the cluster's shared checkpoint folder; /tmp only where none is set, as in tests."""
-    return f"{t.stage_root(spark, '/tmp/cohortry')}/out/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh folder that all executors reach."""
+    return f"{t.stage_root(spark, _shared(spark))}/out/{name}-{uuid.uuid4().hex[:12]}"
 
 
 @query("scan_cohort", "SELECT c_custkey, c_mktsegment, c_acctbal FROM customer")
@@ -52,7 +57,7 @@ def sink_table(spark, sf):
 def cached_stage(spark, sf):
     inputs = [f"{sf}/{n}.parquet" for n in ("customer", "nation", "region", "orders")]
     stage = lambda: t.cached_stage(spark, "clean_cohort", lambda: x.clean(spark, sf).select("id", "bal", "code"),
-                                   inputs, {"columns": ["bal", "code"]}, "/tmp/cohortry")
+                                   inputs, {"columns": ["bal", "code"]}, _shared(spark))
     stage()
     return stage()
 

@@ -95,7 +95,7 @@ UNION SELECT CASE WHEN urgent > 2 THEN 'urgent' ELSE 'max_price' END FROM {cohor
 @query("assign_groups", f"""WITH {x.COHORT_CTE}, features AS ({_FEATURES.format(cohort='cohort')}),
 named AS (SELECT feature, REPLACE(REGEXP_REPLACE(feature, '=.*$', ''), '__missing', '') AS base FROM features)
 SELECT feature, CASE WHEN base IN ('nation', 'region') THEN 'place' WHEN base IN ('code_raw') THEN 'coding'
-  WHEN base LIKE 'n_%' OR base LIKE '%orders%' THEN 'volume' WHEN base LIKE '%price%' OR base LIKE 'spend%' THEN 'money'
+  WHEN starts_with(base, 'n_') OR base LIKE '%orders%' THEN 'volume' WHEN base LIKE '%price%' OR base LIKE 'spend%' THEN 'money'
   ELSE 'rest' END AS feature_group, CASE WHEN feature LIKE '%=%' THEN 1 ELSE 0 END AS is_binary FROM named""")
 def assign_groups(spark, sf):
     names = spark.sql(_FEATURES, cohort=x.cohort(spark, sf))

@@ -191,8 +191,8 @@ _DIRECTED = ("n_orders", "urgent", "finished", "max_price", "bal", "code", "spar
 @query("direction_table", f"""WITH {x.CLEAN_CTE}, {FLAGS_SQL}, means AS (SELECT segment, AVG(total) AS m FROM levels GROUP BY segment),
 worst AS (SELECT segment FROM means ORDER BY m DESC, segment DESC LIMIT 1), best AS (SELECT segment FROM means ORDER BY m, segment LIMIT 1),
 d AS ({' UNION ALL '.join(map(_direction, _DIRECTED))})
-SELECT feature, {r6('h')} AS healthy_mean, {r6('w')} AS worst_mean, {r6('h - w')} AS delta, {r6('(h - w) / (sd + 1e-8)')} AS standardized_delta
+SELECT feature, {r6('h')} AS best_mean, {r6('w')} AS worst_mean, {r6('h - w')} AS delta, {r6('(h - w) / (sd + 1e-8)')} AS standardized_delta
 FROM d WHERE present >= 0.7 AND sd > 0""")
 def direction_table(spark, sf):
     df = flagged(spark, sf).withColumn("constant", F.lit(1))
-    return rounded(p.direction_table(df, "segment", "total", [*_DIRECTED, "constant"]), "healthy_mean", "worst_mean", "delta", "standardized_delta")
+    return rounded(p.direction_table(df, "segment", "total", [*_DIRECTED, "constant"]), "best_mean", "worst_mean", "delta", "standardized_delta")

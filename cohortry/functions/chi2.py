@@ -14,17 +14,15 @@ def upper_tail(x: float, dof: int) -> float:
     if x <= 0:
         return 1.0
     half = x / 2.0
-    if dof % 2 == 0:
-        term, total = 1.0, 1.0
-        for i in range(1, dof // 2):
-            term *= half / i
-            total += term
-        return min(1.0, total * math.exp(-half))
-    term, total = math.sqrt(half) * 2.0 / math.sqrt(math.pi), 0.0
-    for i in range((dof - 1) // 2):
-        total += term
-        term *= half / (i + 1.5)
-    return min(1.0, math.erfc(math.sqrt(half)) + total * math.exp(-half))
+    # terms are kept as logarithms: for many degrees of freedom they overflow long before exp(-half) brings them down
+    first = 0.0 if dof % 2 == 0 else 0.5
+    steps = dof // 2 if dof % 2 == 0 else (dof - 1) // 2
+    logs = [(i + first) * math.log(half) - math.lgamma(i + first + 1.0) - half for i in range(steps)]
+    total = 0.0
+    if logs:
+        top = max(logs)
+        total = math.exp(top) * math.fsum(math.exp(v - top) for v in logs)
+    return min(1.0, total + (math.erfc(math.sqrt(half)) if dof % 2 else 0.0))
 
 
 def tail_column(statistic: Column, dof: Column) -> Column:

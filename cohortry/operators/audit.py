@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -15,8 +14,8 @@ from ..functions.sizes import one_row
 from ..presets import DATE_WORD, MISSING_BINS, NUMERIC_KEYWORDS
 from .clean import collapse_rare
 
-#: a sketch above this is surely more than the handful of levels the rules ask about
-_SURELY_MANY = 200
+#: sets are collected of columns whose sketched count is at most this; the rules ask about 20 levels and 10 numbers
+_FEW = 200
 
 
 def _local(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
@@ -42,21 +41,21 @@ def column_facts(df: DataFrame, columns: Sequence[str] | None = None, date_word:
     first = one_row(df.agg(F.count(F.lit(1)).alias("n"), *[x for i, c in enumerate(columns) for x in (
         F.count(col(c)).alias(f"here{i}"), F.count(number[c]).alias(f"num{i}"),
         F.avg(number[c]).alias(f"m{i}"), F.var_pop(number[c]).alias(f"v{i}"),
-        F.approx_count_distinct(col(c)).alias(f"d{i}"))],
+        F.approx_count_distinct(col(c)).alias(f"d{i}"), F.approx_count_distinct(number[c]).alias(f"e{i}"))],
         *[F.count(_as_date(c)).alias(f"day{columns.index(c)}") for c in dated]))
-    small = [i for i in range(len(columns)) if first[f"d{i}"] <= _SURELY_MANY]
-    sets = one_row(df.agg(*[F.collect_set(col(columns[i])).alias(f"d{i}") for i in small])) if small else None
+    # texts and numbers are counted apart: many unequal texts may hold few numbers
+    few = {f"d{i}": F.collect_set(col(c)) for i, c in enumerate(columns) if first[f"d{i}"] <= _FEW}
+    few |= {f"e{i}": F.collect_set(number[c]) for i, c in enumerate(columns) if first[f"e{i}"] <= _FEW}
+    sets = one_row(df.agg(*[F.size(v).alias(k) for k, v in few.items()])) if few else None
     n = first["n"] or 1
     facts = {}
     for i, c in enumerate(columns):
-        levels = sets[f"d{i}"] if i in small else None
+        exact = lambda k: sets[k] if k in few else first[k]
         facts[c] = {
             "rows": first["n"], "present": first[f"here{i}"], "numbers": first[f"num{i}"],
             "numeric_share": first[f"num{i}"] / n, "date_share": first[f"day{i}"] / n if c in dated else 0.0,
             "mean": first[f"m{i}"], "squares": (first[f"v{i}"] or 0.0) * first[f"num{i}"],
-            "distinct": first[f"d{i}"] if levels is None else len(levels),
-            # hundreds of unequal texts that are but a few numbers are not worth an exact count
-            "distinct_numbers": first[f"d{i}"] if levels is None else len({_read(v) for v in levels} - {None}),
+            "distinct": exact(f"d{i}"), "distinct_numbers": exact(f"e{i}"),
         }
     return facts
 
@@ -65,15 +64,6 @@ def _is_number(df: DataFrame, c: str) -> bool:
     return df.schema[c].dataType.typeName() in ("double", "float", "long", "integer", "short", "byte")
 
 
-def _read(value) -> float | None:
-    """A level as a number, the way ``safe_numeric`` reads it."""
-    try:
-        number = float(value)
-    except (TypeError, ValueError):
-        return None
-    return None if math.isnan(number) else number
-
-
 def column_kind(name: str, facts: dict, date_word: str = DATE_WORD,
                 numeric_keywords: Sequence[str] = NUMERIC_KEYWORDS) -> str:
     if date_word in name and facts["date_share"] > 0.6:

@@ -83,7 +83,8 @@ def codebook_apply(df: DataFrame, codebook: DataFrame, columns: Sequence[str],
     A field's book is a map literal when the codes of all columns are few, which
     keeps the whole replacement in one projection; longer books are joined.
     """
-    book = codebook.filter(F.col("field").isin(*columns))
+    # the first label in order stands for a code that is listed twice
+    book = codebook.filter(F.col("field").isin(*columns)).groupBy("field", "code").agg(F.min("label").alias("label"))
     rows = book.take(max_codes + 1)
     if len(rows) <= max_codes:
         maps: dict[str, dict[str, str]] = {}

@@ -205,9 +205,19 @@ def design_matrix(df: DataFrame, id_col: str, keep: Sequence[str] = (), **option
     return design.transform(src, [id_col, *keep]), design
 
 
+def _like(name: Column, pattern: str) -> Column:
+    """``%`` stands for any text at an end; every other character, also ``_``, is meant literally."""
+    core = pattern.strip("%")
+    if pattern.startswith("%") and pattern.endswith("%"):
+        return name.contains(core)
+    if pattern.endswith("%"):
+        return name.startswith(core)
+    return name.endswith(core) if pattern.startswith("%") else name == core
+
+
 def assign_groups(features: DataFrame, exact: Mapping[str, Sequence[str]], patterns=(), default: str = "other",
                   feature: str = "feature") -> DataFrame:
-    """Add ``feature_group`` (exact names first, then LIKE patterns, then the default) and ``is_binary``."""
+    """Add ``feature_group`` (exact names first, then patterns with ``%`` at the ends, then the default) and ``is_binary``."""
     base = F.regexp_replace(F.regexp_replace(col(feature), "=.*$", ""), "__missing", "")
     group = None
     for name, members in exact.items():
@@ -216,7 +226,7 @@ def assign_groups(features: DataFrame, exact: Mapping[str, Sequence[str]], patte
     for name, likes in patterns:
         hit = F.lit(False)
         for like in likes:
-            hit = hit | base.like(like)
+            hit = hit | _like(base, like)
         group = F.when(hit, F.lit(name)) if group is None else group.when(hit, F.lit(name))
     group = F.lit(default) if group is None else group.otherwise(F.lit(default))
     return features.select("*", group.alias("feature_group"), col(feature).contains("=").cast("int").alias("is_binary"))

@@ -175,9 +175,9 @@ def permuted(df: DataFrame, id_col: str, vec: str, seed: int = 42) -> DataFrame:
 
 
 def permutation_attribution(df: DataFrame, model, id_col: str, features: Sequence[str], vec: str = "features",
-                            sample: int | None = 1000, seed: int = 42) -> DataFrame:
+                            sample: int | None = None, seed: int = 42) -> DataFrame:
     """(feature, mean_abs): mean absolute change of the predicted probabilities when one feature is
-    swapped with another row's, on ``sample`` rows (all rows when None). For tree models."""
+    swapped with another row's, on all rows, or on ``sample`` of them where that is asked for. For tree models."""
     src = df
     if sample is not None and df.count() > sample:
         src = df.filter(lowest_k(df, stable_key(col(id_col), seed), col(id_col), {None: sample}))

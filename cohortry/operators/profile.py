@@ -193,7 +193,7 @@ def cluster_medoids(df: DataFrame, id_col: str, vec: str, label: str, n: int = 3
     return near.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n)
 
 
-def worst_and_healthiest(df: DataFrame, label: str, outcome: str):
+def worst_and_best(df: DataFrame, label: str, outcome: str):
     """Cluster numbers with the highest and the lowest mean outcome."""
     means = df.groupBy(col(label).alias("label")).agg(F.avg(safe_numeric(col(outcome))).alias("m"))
     return _ends(few_rows(means, MAX_CLUSTERS, "clusters"))
@@ -217,11 +217,11 @@ def _spread(parts) -> float | None:
 
 def prototype_counterfactual(df: DataFrame, id_col: str, vec: str, label: str, outcome: str,
                              fields: Sequence[str], n: int = 3, top: int = 6) -> DataFrame:
-    """The worst cluster's medoids, each with its nearest row of the healthiest cluster and their
+    """The worst cluster's medoids, each with its nearest row of the best cluster and their
     ``top`` largest differences as text.
 
     Three passes: one summary per cluster (ends, centres, deviations), the medoids as a top-n, and
-    one scan of the healthiest cluster that keeps the nearest row per medoid without a shuffle of rows.
+    one scan of the best cluster that keeps the nearest row per medoid without a shuffle of rows.
     """
     number = {c: safe_numeric(col(c).cast("string")) for c in fields}
     summary = few_rows(
@@ -231,7 +231,7 @@ def prototype_counterfactual(df: DataFrame, id_col: str, vec: str, label: str, o
             *[x for i, v in enumerate(number.values()) for x in (
                 F.count(v).alias(f"n{i}"), F.avg(v).alias(f"a{i}"), (F.var_pop(v) * F.count(v)).alias(f"w{i}"))]),
         MAX_CLUSTERS, "clusters")
-    worst, healthiest = _ends(summary)
+    worst, best = _ends(summary)
     centre = next(r["centre"] for r in summary if r["label"] == worst).toArray()
     spread = [_spread([(r[f"n{i}"], r[f"a{i}"], r[f"w{i}"]) for r in summary]) for i in range(len(fields))]
     facts = F.struct(col(id_col).alias("id"), col(outcome).alias("outcome"),
@@ -242,8 +242,8 @@ def prototype_counterfactual(df: DataFrame, id_col: str, vec: str, label: str, o
     medoids = (rows.filter(F.col("label") == worst)
                .withColumn("d", squared_distance(F.col("v"), literal(centre)))
                .orderBy("d", "facts.id").limit(n)
-               .select(F.lit(healthiest).alias("label"), F.col("v").alias("qv"), F.col("facts").alias("q")))
-    near = (rows.filter(F.col("label") == healthiest).join(broadcast_if_small(medoids, n), "label")
+               .select(F.lit(best).alias("label"), F.col("v").alias("qv"), F.col("facts").alias("q")))
+    near = (rows.filter(F.col("label") == best).join(broadcast_if_small(medoids, n), "label")
             .select("q", "facts", squared_distance(F.col("v"), F.col("qv")).alias("d"))
             .groupBy(F.col("q.id").alias("qid")).agg(
                 F.first("q").alias("q"), F.min_by("facts", F.struct("d", "facts.id")).alias("c")))
@@ -258,20 +258,20 @@ def prototype_counterfactual(df: DataFrame, id_col: str, vec: str, label: str, o
     largest = F.slice(F.array_sort(F.filter(F.array(*diffs), lambda d: d["neg"].isNotNull())), 1, top)
     return near.select(
         F.col("q.id").alias("query_id"), F.lit(worst).alias("query_cluster"), F.col("q.outcome").alias("query_outcome"),
-        F.col("c.id").alias("counterfactual_id"), F.lit(healthiest).alias("counterfactual_cluster"),
+        F.col("c.id").alias("counterfactual_id"), F.lit(best).alias("counterfactual_cluster"),
         F.col("c.outcome").alias("counterfactual_outcome"),
         F.array_join(F.transform(largest, lambda d: d["text"]), " | ").alias("top_feature_changes"))
 
 
 def direction_table(df: DataFrame, label: str, outcome: str, columns: Sequence[str],
                     min_present: float = 0.7) -> DataFrame:
-    """(feature, healthy_mean, worst_mean, delta, standardized_delta), largest absolute shift first."""
+    """(feature, best_mean, worst_mean, delta, standardized_delta), largest absolute shift first."""
     means = df.groupBy(col(label).alias("label")).agg(
         F.count(F.lit(1)).alias("rows"), F.avg(safe_numeric(col(outcome))).alias("m"),
         *[x for i, c in enumerate(columns) for v in [safe_numeric(col(c))] for x in (
             F.count(v).alias(f"n{i}"), F.avg(v).alias(f"a{i}"), (F.var_pop(v) * F.count(v)).alias(f"w{i}"))])
     summary = few_rows(means, MAX_CLUSTERS, "clusters")
-    worst, healthiest = _ends(summary)
+    worst, best = _ends(summary)
     at = {r["label"]: r for r in summary}
     n_rows = sum(r["rows"] for r in summary)
     out = []
@@ -280,8 +280,8 @@ def direction_table(df: DataFrame, label: str, outcome: str, columns: Sequence[s
         present = sum(r[f"n{i}"] for r in summary) / n_rows
         if present < min_present or not spread:
             continue
-        good, bad = at[healthiest][f"a{i}"], at[worst][f"a{i}"]
+        good, bad = at[best][f"a{i}"], at[worst][f"a{i}"]
         delta = None if good is None or bad is None else good - bad
         out.append((c, good, bad, delta, None if delta is None else delta / (spread + 1e-8)))
-    schema = "feature string, healthy_mean double, worst_mean double, delta double, standardized_delta double"
+    schema = "feature string, best_mean double, worst_mean double, delta double, standardized_delta double"
     return df.sparkSession.createDataFrame(out, schema).orderBy(F.desc(F.abs("standardized_delta")), "feature")

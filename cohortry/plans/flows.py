@@ -118,7 +118,7 @@ def predict_clusters(df: DataFrame, id_col: str, cluster: str, leakage: Sequence
     """Metrics per model of predicting the cluster from features that are no inputs of it."""
     slim = clean.drop_by_pattern(df, leakage, keep=[id_col, cluster])
     ready, _ = _split(slim, id_col, cluster, [], seed, design_options or {})
-    classes = sorted(int(r[0]) for r in ready.select("label").distinct().take(1000))
+    classes = sorted(int(r[0]) for r in ready.select("label").distinct().collect())
     models = predict.train_classifiers(ready.filter("is_test = 0"), multiclass=True, seed=seed, **model_options)
     parts = [predict.multiclass_metrics(_scored(m, ready.filter("is_test = 1")), "label", "prediction",
                                         {float(c): F.col("__scores")[c] for c in classes}).withColumn("model", F.lit(n))

@@ -1,5 +1,7 @@
 """Edge cases of the operators and numbers known from literal tables."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -397,7 +399,7 @@ def test_direction_skips_constant_and_sparse(spark):
     df = spark.createDataFrame([(0, 0.0, 1.0, 1.0, None), (0, 1.0, 3.0, 1.0, 2.0), (1, 9.0, 6.0, 1.0, None)],
                                "c int, y double, x double, same double, gaps double")
     got = profile.direction_table(df, "c", "y", ["x", "same", "gaps"]).collect()
-    assert [(r["feature"], r["healthy_mean"], r["worst_mean"], r["delta"]) for r in got] == [("x", 2.0, 6.0, -4.0)]
+    assert [(r["feature"], r["best_mean"], r["worst_mean"], r["delta"]) for r in got] == [("x", 2.0, 6.0, -4.0)]
 
 
 # --- prediction --------------------------------------------------------------------------
@@ -457,3 +459,31 @@ def test_subtyping_end_to_end(spark):
     profile_rows = out["profile"].orderBy("cluster").collect()
     means = [r["outcome"] for r in profile_rows]
     assert means == sorted(means)
+
+
+def test_few_numbers_among_many_texts(spark):
+    for n in (2_000, 8_000):
+        df = spark.range(n).select(F.when(F.col("id") % 20 == 0, F.concat(F.lit("remark "), "id")).otherwise((F.col("id") % 3).cast("string")).alias("x"))
+        assert audit.classify_columns(df).first()["kind"] == "categorical"
+
+
+def test_underscore_in_a_group_name_is_no_wildcard(spark):
+    names = spark.createDataFrame([("nation",), ("n_orders",), ("a_price",)], "feature string")
+    got = {r["feature"]: r["feature_group"] for r in features.assign_groups(names, {}, [("count", ["n_%"]), ("money", ["%price"])]).collect()}
+    assert got == {"nation": "other", "n_orders": "count", "a_price": "money"}
+
+
+def test_a_code_listed_twice(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, k string")
+    book = spark.createDataFrame([("k", "a", "two"), ("k", "a", "one")], "field string, code string, label string")
+    for limit in (5_000, 0):
+        assert sorted(map(tuple, clean.codebook_apply(df, book, ["k"], limit).collect())) == [(1, "one"), (2, "b")]
+
+
+def test_chi_square_tail_of_many_degrees():
+    from cohortry.functions.chi2 import upper_tail
+    # Wilson and Hilferty's normal approximation
+    for x, k in ((1500, 1200), (1600, 1000), (1301, 1201)):
+        z = ((x / k) ** (1 / 3) - (1 - 2 / (9 * k))) / math.sqrt(2 / (9 * k))
+        assert math.log(upper_tail(x, k)) == pytest.approx(math.log(0.5 * math.erfc(z / math.sqrt(2))), rel=0.01)
+    assert upper_tail(3.841458820694124, 1) == pytest.approx(0.05) and upper_tail(5.991464547107979, 2) == pytest.approx(0.05)
