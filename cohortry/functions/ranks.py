@@ -25,8 +25,6 @@ MAX_DISTINCT = 2_000_000
 MAX_CANDIDATES = 200_000
 #: the same, summed over the columns that are picked in one job
 MAX_CANDIDATES_PER_JOB = 2_000_000
-#: groups (features, classes) that may be described by one row each on the driver
-MAX_GROUPS = 100_000
 
 
 def tally(df: DataFrame, *keys: str, n: str = "n") -> DataFrame:
@@ -38,22 +36,19 @@ def _value_ranges(tallies: DataFrame, rows: DataFrame | None, value: str, by: Se
     """(number of distinct values, cut points per group); no cut points when one pass per group will do.
 
     The number is sketched on ``rows``, the source of the tallies, where that is given: this
-    takes a scan and no shuffle. Cut points come from the tallies, so that they balance
-    distinct values however the rows are spread over them.
+    takes a scan and no shuffle. Cut points are the distinct values whose hash falls into one
+    of many classes: they balance distinct values of any type however the rows are spread
+    over them, and are the same whenever they are computed, so they need not be kept.
     """
-    sizes = few_rows(
-        (tallies if rows is None else rows).groupBy(*by).agg(F.approx_count_distinct(value).alias("__d")),
-        MAX_GROUPS, "groups of a rank")
-    widest = max((r["__d"] for r in sizes), default=0)
-    total = sum(r["__d"] for r in sizes)
+    sizes = one_row((tallies if rows is None else rows).groupBy(*by)
+                    .agg(F.approx_count_distinct(value).alias("__d"))
+                    .agg(F.max("__d").alias("widest"), F.sum("__d").alias("total")))
+    widest, total = sizes["widest"] or 0, sizes["total"] or 0
     if widest * 1.2 <= max_distinct:
         return total, None
-    pieces = max(2, math.ceil(2.4 * widest / max_distinct))
-    probs = [i / pieces for i in range(1, pieces)]
-    cuts = tallies.groupBy(*by).agg(
-        F.array_distinct(F.percentile_approx(value, probs, 50 * pieces)).alias("__cuts"))
-    rows = few_rows(cuts, MAX_GROUPS, "groups of a rank")
-    return total, tallies.sparkSession.createDataFrame(rows, cuts.schema)
+    step = max(1, max_distinct // 8)
+    chosen = F.when(F.pmod(F.xxhash64(F.col(value)), F.lit(step)) == 0, F.col(value))
+    return total, tallies.groupBy(*by).agg(F.array_sort(F.collect_set(chosen)).alias("__cuts"))
 
 
 def with_ranks(tallies: DataFrame, value: str, by: Sequence[str] = (), n: str = "n",
@@ -89,17 +84,13 @@ def _rank_in_ranges(tallies, value, by, n, rank, before, peers, ranges) -> DataF
     if ranges is None:
         part, shift, src = by, F.lit(0).cast("long"), tallies
     else:
-        if by:
-            src = tallies.join(F.broadcast(ranges), by, "left")
-        else:
-            src = tallies.withColumn("__cuts", F.lit(ranges.first()["__cuts"]))
+        src = tallies.join(ranges, by, "left") if by else tallies.withColumn("__cuts", F.lit(one_row(ranges)["__cuts"]))
         src = src.withColumn("__range", F.size(F.filter("__cuts", lambda c: c < F.col(value)))).drop("__cuts")
         per_range = src.groupBy(*by, "__range").agg(F.sum(n).alias("__rows"))
         below = W.partitionBy(*by).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
         per_range = per_range.select(
             *by, "__range", F.coalesce(F.sum("__rows").over(below), F.lit(0)).alias("__shift"))
-        # one row per group and range: as few as the cut points already held by the driver
-        src = src.join(F.broadcast(per_range), [*by, "__range"])
+        src = src.join(per_range, [*by, "__range"])
         part, shift = [*by, "__range"], F.col("__shift")
     upto = F.sum(n).over(W.partitionBy(*part).orderBy(value))
     same = F.sum(n).over(W.partitionBy(*part, value))

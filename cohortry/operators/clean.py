@@ -76,27 +76,13 @@ def fan_out(codebook: DataFrame, targets: Mapping[str, Sequence[str]]) -> DataFr
     return codebook.select(F.explode(names).alias("field"), "code", "label")
 
 
-def codebook_apply(df: DataFrame, codebook: DataFrame, columns: Sequence[str],
-                   max_codes: int = 5_000) -> DataFrame:
-    """Replace codes by labels; a code without a label stays as it is.
+def codebook_apply(df: DataFrame, codebook: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Replace codes by labels; a code without a label stays as it is, as text.
 
-    A field's book is a map literal when the codes of all columns are few, which
-    keeps the whole replacement in one projection; longer books are joined.
+    The first label in order stands for a code that is listed twice. Each column is joined with its part of
+    the book, whatever its length; Spark broadcasts a short one and splits a hot code of a long one.
     """
-    # the first label in order stands for a code that is listed twice
     book = codebook.filter(F.col("field").isin(*columns)).groupBy("field", "code").agg(F.min("label").alias("label"))
-    rows = book.take(max_codes + 1)
-    if len(rows) <= max_codes:
-        maps: dict[str, dict[str, str]] = {}
-        for r in rows:
-            maps.setdefault(r["field"], {})[r["code"]] = r["label"]
-
-        def cell(c: str) -> Column:
-            if c not in maps:
-                return col(c).cast("string").alias(c) if c in columns else col(c)
-            book_map = F.create_map(*[F.lit(x) for kv in sorted(maps[c].items()) for x in kv])
-            return F.coalesce(F.element_at(book_map, code_key(col(c))), col(c).cast("string")).alias(c)
-        return df.select([cell(c) for c in df.columns])
     out = df
     for c in columns:
         side = book.filter(F.col("field") == c).select(F.col("code").alias("__code"), F.col("label").alias("__label"))
@@ -104,7 +90,7 @@ def codebook_apply(df: DataFrame, codebook: DataFrame, columns: Sequence[str],
                .join(side, F.col("__key") == F.col("__code"), "left")
                .withColumn(c, F.coalesce("__label", col(c).cast("string")))
                .drop("__key", "__code", "__label"))
-    return out.select(df.columns)
+    return out.select([col(c) for c in df.columns])
 
 
 def readable_value(value: Column, labels: Mapping[str, str] | None = None, flag: bool = False,

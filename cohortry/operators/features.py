@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import col, melt, safe_numeric
-from ..functions.ranks import medians
+from ..functions.ranks import medians, with_ranks
 from ..functions.sizes import broadcast_if_small, few_rows, one_row
 from ..presets import NON_FEATURES, NUMERIC_KEYWORDS
 from .audit import column_facts
@@ -93,22 +93,22 @@ def one_hot(df: DataFrame, columns: Sequence[str], levels: Mapping[str, Sequence
     return df.select(*[col(c) for c in df.columns if c not in columns], *dummies)
 
 
-def category_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(feature, level, code, cardinality): codes count the sorted levels from 0."""
-    rows = [(c, v, i, len(levels)) for c, levels in levels_of(df, columns).items() for i, v in enumerate(levels)]
-    return df.sparkSession.createDataFrame(rows, "feature string, level string, code int, cardinality long")
+def category_codes(df: DataFrame, columns: Sequence[str], **rank_options) -> DataFrame:
+    """(feature, level, code, cardinality): codes count the sorted levels from 0, however many there are."""
+    levels = melt(df, [], columns, "feature", "level", numeric=False).distinct().withColumn("n", F.lit(1).cast("long"))
+    sizes = levels.groupBy("feature").agg(F.count(F.lit(1)).alias("cardinality"))
+    ranked = with_ranks(levels, "level", ["feature"], before="__before", **rank_options).join(sizes, "feature")
+    return ranked.select("feature", "level", F.col("__before").cast("int").alias("code"), "cardinality")
 
 
 def encode_categories(df: DataFrame, columns: Sequence[str], unknown: int = -1) -> DataFrame:
     """Replace each listed column by its category code; unseen and missing levels get ``unknown``."""
-    levels = levels_of(df, columns)
-
-    def cell(c: str) -> Column:
-        if c not in levels or not levels[c]:
-            return col(c) if c not in levels else F.lit(unknown).alias(c)
-        book = F.create_map(*[x for i, v in enumerate(levels[c]) for x in (F.lit(v), F.lit(i))])
-        return F.coalesce(F.element_at(book, col(c).cast("string")), F.lit(unknown)).alias(c)
-    return df.select([cell(c) for c in df.columns])
+    codes, out = category_codes(df, columns), df
+    for c in columns:
+        side = codes.filter(F.col("feature") == c).select(F.col("level").alias("__level"), F.col("code").alias("__code"))
+        out = (out.join(side, col(c).cast("string") == F.col("__level"), "left")
+               .withColumn(c, F.coalesce("__code", F.lit(unknown))).drop("__level", "__code"))
+    return out.select([col(c) for c in df.columns])
 
 
 # --- design matrix -------------------------------------------------------------

@@ -14,11 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import col, is_true, safe_numeric
 from ..functions.ranks import exact_quantiles, lowest_k, stable_key, tally, with_ranks
-from ..functions.sizes import few_rows, one_row
-
-
-#: classes a split may be stratified by
-MAX_CLASSES = 1_000
+from ..functions.sizes import one_row
 
 
 def quantile_label(df: DataFrame, column: str, out: str, share: float = 0.25, drop_missing: bool = False) -> DataFrame:
@@ -34,16 +30,24 @@ def quantile_label(df: DataFrame, column: str, out: str, share: float = 0.25, dr
 
 
 def stratified_split(df: DataFrame, id_col: str, label: str, test_share: float = 0.2, seed: int = 42,
-                     out: str = "is_test") -> DataFrame:
+                     out: str = "is_test", **rank_options) -> DataFrame:
     """Add a 0/1 column with exactly ``round(test_share * n)`` test rows per class.
 
-    Rows are chosen by a hash of their id, so the split is the same on any cluster. The
-    cut per class is found by exact selection: no class is sorted in one task.
+    Rows are chosen by a hash of their id, so the split is the same on any cluster; equal
+    hashes are settled by the id, and rows with the same id stay together. Only (class, hash, id) is shuffled, in value ranges where a
+    class is large, and gives one cut per class; the cuts are joined to the rows. Rows
+    without a class are a class of their own.
     """
-    sizes = few_rows(df.groupBy(col(label).alias("y")).agg(F.count(F.lit(1)).alias("n")), MAX_CLASSES, "classes")
-    take = {r["y"]: int(np.floor(test_share * r["n"] + 0.5)) for r in sizes}
-    chosen = lowest_k(df, stable_key(col(id_col), seed), col(id_col), take, col(label))
-    return df.select("*", is_true(chosen).cast("int").alias(out))
+    # a missing class has a text as well
+    name, key = F.to_json(F.struct(col(label).alias("y"))), stable_key(col(id_col), seed)
+    keyed = df.select(name.alias("y"), key.alias("k"), col(id_col).alias("t"), F.lit(1).cast("long").alias("n"))
+    take = keyed.groupBy("y").agg(F.floor(test_share * F.count(F.lit(1)) + 0.5).alias("take"))
+    ranked = with_ranks(keyed, "k", ["y"], before="__before", **rank_options).join(take, "y")
+    place = F.col("__before") + F.row_number().over(W.partitionBy("y", "k").orderBy("t"))
+    cuts = (ranked.withColumn("__place", place).filter(F.col("__place") <= F.col("take"))
+            .groupBy(F.col("y").alias("__y")).agg(F.max(F.struct("k", "t")).alias("__cut")))
+    mine = F.struct(key.alias("k"), col(id_col).alias("t")) <= F.col("__cut")
+    return df.join(cuts, name == F.col("__y"), "left").select(*[col(c) for c in df.columns], is_true(mine).cast("int").alias(out))
 
 
 def train_classifiers(train: DataFrame, label: str = "label", features: str = "features", multiclass: bool = False,

@@ -194,9 +194,11 @@ def cluster_medoids(df: DataFrame, id_col: str, vec: str, label: str, n: int = 3
 
 
 def worst_and_best(df: DataFrame, label: str, outcome: str):
-    """Cluster numbers with the highest and the lowest mean outcome."""
-    means = df.groupBy(col(label).alias("label")).agg(F.avg(safe_numeric(col(outcome))).alias("m"))
-    return _ends(few_rows(means, MAX_CLUSTERS, "clusters"))
+    """Cluster numbers with the highest and the lowest mean outcome; ties in the mean are settled by the label."""
+    means = df.groupBy(col(label).alias("label")).agg(F.avg(safe_numeric(col(outcome))).alias("m")).filter("m IS NOT NULL")
+    place = F.struct("m", "label")
+    row = one_row(means.agg(F.max_by("label", place).alias("worst"), F.min_by("label", place).alias("best")))
+    return row["worst"], row["best"]
 
 
 def _ends(means) -> tuple:
@@ -218,16 +220,20 @@ def _spread(parts) -> float | None:
 def prototype_counterfactual(df: DataFrame, id_col: str, vec: str, label: str, outcome: str,
                              fields: Sequence[str], n: int = 3, top: int = 6) -> DataFrame:
     """The worst cluster's medoids, each with its nearest row of the best cluster and their
-    ``top`` largest differences as text.
+    ``top`` largest differences as text. A row whose vector lacks a number has no place and is no prototype
+    and no counterfactual; it still counts for the outcomes and deviations.
 
     Three passes: one summary per cluster (ends, centres, deviations), the medoids as a top-n, and
     one scan of the best cluster that keeps the nearest row per medoid without a shuffle of rows.
     """
     number = {c: safe_numeric(col(c).cast("string")) for c in fields}
+    placed = F.coalesce(F.forall(doubles(col(vec)), lambda x: x.isNotNull()), F.lit(False))
+    blank = F.array_repeat(F.lit(0.0), one_row(df.agg(F.max(F.size(doubles(col(vec)))).alias("d")))["d"] or 0)
     summary = few_rows(
         df.groupBy(col(label).alias("label")).agg(
             F.avg(safe_numeric(col(outcome))).alias("m"),
-            Summarizer.mean(array_to_vector(doubles(col(vec)))).alias("centre"),
+            Summarizer.mean(array_to_vector(F.coalesce(F.when(placed, doubles(col(vec))), blank)),
+                            placed.cast("double")).alias("centre"),
             *[x for i, v in enumerate(number.values()) for x in (
                 F.count(v).alias(f"n{i}"), F.avg(v).alias(f"a{i}"), (F.var_pop(v) * F.count(v)).alias(f"w{i}"))]),
         MAX_CLUSTERS, "clusters")
@@ -238,7 +244,7 @@ def prototype_counterfactual(df: DataFrame, id_col: str, vec: str, label: str, o
                      *[x for i, c in enumerate(fields) for x in (
                          number[c].alias(f"x{i}"), col(c).cast("string").alias(f"r{i}"),
                          readable_value(col(c)).alias(f"s{i}"))])
-    rows = df.select(col(label).alias("label"), doubles(col(vec)).alias("v"), facts.alias("facts"))
+    rows = df.filter(placed).select(col(label).alias("label"), doubles(col(vec)).alias("v"), facts.alias("facts"))
     medoids = (rows.filter(F.col("label") == worst)
                .withColumn("d", squared_distance(F.col("v"), literal(centre)))
                .orderBy("d", "facts.id").limit(n)

@@ -68,10 +68,8 @@ def test_codebook_forms(spark, form, block, want):
 def test_long_books_are_joined(spark):
     df = spark.createDataFrame([(1, "1.0", "x"), (2, "9", None)], "id int, a string, b string")
     book = spark.createDataFrame([("a", "1", "one"), ("b", "x", "ex")], "field string, code string, label string")
-    few = clean.codebook_apply(df, book, ["a", "b"])
-    many = clean.codebook_apply(df, book, ["a", "b"], max_codes=1)
-    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
-    assert few.first()["a"] == "one"
+    got = clean.codebook_apply(df, book, ["a", "b"])
+    assert sorted(map(tuple, got.collect())) == [(1, "one", "ex"), (2, "9", None)]
 
 
 def test_winsorize_and_median_of_an_empty_column(spark):
@@ -416,6 +414,41 @@ def test_split_is_exact_per_class(spark):
     assert all(r["t"] == int(0.2 * r["n"] + 0.5) for r in out)
 
 
+@pytest.mark.parametrize("limit", [2_000_000, 40])
+def test_split_of_many_classes_and_none(spark, limit):
+    import hashlib
+    data = [(i, None if i % 5 == 0 else i % 1201) for i in range(9000)] + [(7, 7), (7, 7)]
+    df = spark.createDataFrame(data, "id long, y int")
+    got = predict.stratified_split(df, "id", "y", max_distinct=limit)
+    key = lambda i: (int(hashlib.md5(f"{i}#42".encode()).hexdigest()[:11], 16), i)
+    want = []
+    for y in {y for _, y in data}:
+        ids = sorted((i for i, c in data if c == y), key=key)
+        take = int(0.2 * len(ids) + 0.5)
+        # repeated ids at the cut go together
+        edge = key(ids[take - 1]) if take else (-1, -1)
+        want += [(i, y, int(key(i) <= edge)) for i in ids]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
+@pytest.mark.parametrize("limit", [2_000_000, 100])
+def test_codes_of_many_levels(spark, limit):
+    df = spark.createDataFrame([(i, f"v{i * 7919 % 3000}", None if i % 3 else "x") for i in range(3300)], "id int, a string, b string")
+    codes = features.category_codes(df, ["a", "b"], max_distinct=limit).collect()
+    want = [("a", v, i, 3000) for i, v in enumerate(sorted({f"v{j}" for j in range(3000)}))] + [("b", "x", 0, 1)]
+    assert sorted(map(tuple, codes)) == sorted(want)
+    place = {v: i for _, v, i, _ in want}
+    got = features.encode_categories(df, ["a", "b"]).collect()
+    assert len(got) == 3300 and all(r["a"] == place[f"v{r['id'] * 7919 % 3000}"] and r["b"] == (-1 if r["id"] % 3 else 0) for r in got)
+
+
+def test_prototypes_have_a_place(spark):
+    data = [(1, 0, 0.0, [0.0, None], 1.0), (2, 0, 0.0, [5.0, 5.0], 9.0), (3, 1, 5.0, [1.0, 0.0], 8.0), (4, 1, 6.0, None, 8.0), (5, 1, 6.0, [None, 1.0], 2.0)]
+    df = spark.createDataFrame(data, "id int, c int, y double, v array<double>, a double")
+    got = profile.prototype_counterfactual(df, "id", "v", "c", "y", ["a"]).collect()
+    assert [(r["query_id"], r["counterfactual_id"]) for r in got] == [(3, 2)]
+
+
 def test_binary_metrics_by_hand(spark):
     df = spark.createDataFrame([(1, 1, 0.9), (1, 0, 0.4), (0, 1, 0.4), (0, 0, 0.1)], "y int, p int, s double")
     got = predict.binary_metrics(df, "y", "p", "s").first()
@@ -476,8 +509,7 @@ def test_underscore_in_a_group_name_is_no_wildcard(spark):
 def test_a_code_listed_twice(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, k string")
     book = spark.createDataFrame([("k", "a", "two"), ("k", "a", "one")], "field string, code string, label string")
-    for limit in (5_000, 0):
-        assert sorted(map(tuple, clean.codebook_apply(df, book, ["k"], limit).collect())) == [(1, "one"), (2, "b")]
+    assert sorted(map(tuple, clean.codebook_apply(df, book, ["k"]).collect())) == [(1, "one"), (2, "b")]
 
 
 def test_chi_square_tail_of_many_degrees():
