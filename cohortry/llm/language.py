@@ -103,7 +103,9 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", seed:
     each = min(PER_LANGUAGE, max(1, SAMPLE_ROWS // len(sizes)))
     rates = F.create_map(*[F.lit(x) for l, n in sizes.items() for x in (l, min(1.0, each / n))])
     draw = F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1_000_000)) / 1_000_000
-    drawn = rows.filter(draw < F.element_at(rates, F.col("lang"))).orderBy(F.xxhash64(F.lit(seed), "text")).limit(2 * SAMPLE_ROWS).select("lang", "text")
+    # copies of one text are drawn together or not at all, and teach once
+    drawn = rows.filter(draw < F.element_at(rates, F.col("lang"))).dropDuplicates(["lang", "text"]).orderBy(F.xxhash64(F.lit(seed), "text"), "lang").limit(
+        2 * SAMPLE_ROWS).select("lang", "text")
 
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

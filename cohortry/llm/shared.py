@@ -52,21 +52,25 @@ def crc_of_id(doc_id: Column) -> Column:
 
 
 class UnitCache:
-    """Encoded form of text units, in two generations of at most ``limit`` units, so that frequent units stay.
+    """Encoded form of text units, in two generations of at most ``limit`` units and ``chars`` characters (or one call's units,
+    where those are more), so that frequent units stay and long ones cannot pile up.
 
     ``encode(units)`` gives the values of a list of units that are not known yet.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Iterable], limit: int = 400_000):
-        self.encode, self.limit, self.young, self.old = encode, limit, {}, {}
+    def __init__(self, encode: Callable[[list[str]], Iterable], limit: int = 400_000, chars: int = 16_000_000):
+        self.encode, self.limit, self.chars, self.young, self.old, self.held = encode, limit, chars, {}, {}, 0
 
     def table(self, units: list[str]) -> dict:
         """A dictionary that holds every one of ``units``."""
         new = set(units).difference(self.young)
         if new:
-            if len(self.young) + len(new) > self.limit:
-                self.old, self.young = self.young, {}
+            grows = sum(map(len, new))
+            if len(self.young) + len(new) > self.limit or self.held + grows > self.chars:
+                self.old, self.young, self.held = self.young, {}, 0
                 new = set(units)
+                grows = sum(map(len, new))
+            self.held += grows
             kept = new.intersection(self.old)
             for unit in kept:
                 self.young[unit] = self.old[unit]

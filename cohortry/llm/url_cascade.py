@@ -44,10 +44,11 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def keys_of(host: Column, path: Column, lengths: Sequence[int]) -> Column:
-    """Every (host ending, path beginning) that a rule could name; ``lengths`` are those of the rules' paths."""
-    labels = F.split(host, r"\.", -1)
-    endings = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def keys_of(host: Column, path: Column, lengths: Sequence[int], labels: Sequence[int]) -> Column:
+    """Every (host ending, path beginning) that a rule could name; ``lengths`` are those of the rules' paths, ``labels`` the
+    numbers of labels of their hosts, so a host of very many labels has no more endings than any other."""
+    parts = F.split(host, r"\.", -1)
+    endings = F.filter(F.array(*[F.when(F.size(parts) >= n, F.array_join(F.slice(parts, -n, n), ".")) for n in sorted(labels)]), lambda h: h.isNotNull())
     starts = F.filter(F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in sorted(lengths)]), lambda p: p.isNotNull())
     return F.when(host == "", F.array().cast("array<string>")).otherwise(
         F.flatten(F.transform(endings, lambda h: F.transform(starts, lambda p: F.concat(h, p)))))
@@ -144,8 +145,9 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], default: str = "al
     blocked = {r for v, r in rules if v == "block"}
     allowed = {r for v, r in rules if v == "allow"} - blocked
     lengths = {len(r) - r.index("/") for r in blocked | allowed}
+    labels = {r[:r.index("/")].count(".") + 1 for r in blocked | allowed}
     urls = pages.select(pages[id_col].alias("page_id"), pages[url_col].cast("string").alias("url")).select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    urls = urls.withColumn("keys", keys_of(F.col("host"), F.col("path"), lengths))
+    urls = urls.withColumn("keys", keys_of(F.col("host"), F.col("path"), lengths, labels))
     universe = stored(urls.select(F.explode("keys").alias("key")).distinct(), "keys")
     listed = lambda keys: spark.createDataFrame([(k,) for k in sorted(keys)], "key string")
     block, allow = build(listed(blocked), universe), build(listed(allowed), universe)
