@@ -34,6 +34,7 @@ from .shared import UnitCache, stored
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 _ROWS_PER_SALT = 4096
+_UNITS_PER_CALL = 256
 
 # Unicode white space (fixed values)
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -54,14 +55,30 @@ class ByteEncoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.cache = UnitCache(self._encode)
+        pieces = self.tokenizer.get_vocab()
+        #: whether a token begins with a blank or a line feed, as the byte alphabet spells them
+        self.begins = np.zeros(max(pieces.values(), default=0) + 1, bool)
+        self.begins[[i for p, i in pieces.items() if p[:1] in ("\u0120", "\u010a")]] = True
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _encode(self, units: list[str]) -> Iterator[bytes]:
-        for a in range(0, len(units), 8192):
-            # a unit that does not begin with a line feed had a blank before it
-            yield from self._ids([u if u[:1] == "\n" else " " + u for u in units[a:a + 8192]])
+        # a unit that does not begin with a line feed had a blank before it
+        spelled = [u if u[:1] == "\n" else " " + u for u in units]
+        groups = [spelled[a:a + _UNITS_PER_CALL] for a in range(0, len(units), _UNITS_PER_CALL)]
+        for a in range(0, len(groups), 64):
+            some = groups[a:a + 64]
+            for group, ids in zip(some, self._ids(["".join(g) for g in some])):
+                yield from self._apart(group, ids)
+
+    def _apart(self, group: list[str], ids: bytes) -> list[bytes]:
+        """The ids of each of some units from those of all in a row: every unit begins with its only white space."""
+        edges = np.flatnonzero(self.begins[np.frombuffer(ids, "<u4")])
+        if len(edges) != len(group) or edges[0] or not all(map(str.strip, group)):
+            return self._ids(group)
+        edges = (4 * edges).tolist() + [len(ids)]
+        return [ids[a:b] for a, b in zip(edges, edges[1:])]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text. The new parts of all texts are encoded in one call."""
