@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 import __spark_entry__ as entry
 import corpus_pipeline
 from cohortry.llm import exact_dedup, language, mixing, packing, quality_rules, rule_ensemble, sharding, simhash, token_counts, url_cascade
-from cohortry.llm.shared import stored
+from cohortry.llm.shared import UnitCache, stored
 from tests.conftest import SMALL
 
 LONG = "lorem ipsum Dolor sit amet " * 3000
@@ -112,6 +112,8 @@ def test_urls(spark):
                    5: ("example.com", "com/", "allow"), 6: ("b.net", "net/es/", "block"), 7: ("notexample.com", "com/", "allow"), 8: ("net", None, "allow"),
                    9: ("a.net", "net/fr/", "block"), 10: ("", None, "allow")}
     assert url_cascade.judge(pages.limit(0), URL_RULES).count() == 0
+    long = spark.createDataFrame([(1, "http://" + "a." * 100_000 + "example.com/en/" + "x/" * 100_000)], "page_id long, url string")
+    assert [(r["rule"], r["verdict"]) for r in url_cascade.judge(long, URL_RULES).collect()] == [("example.com/en/", "block")]
 
 
 def base(text):
@@ -169,6 +171,11 @@ def test_language(spark, odd, none):
     assert got[None] == ("und", 0.0) and got[3] == ("und", 0.0) and got[4] == ("und", 0.0) and got[6][0] == "fr"
     assert language.fit(none) is None and {r["lang_pred"] for r in language.predict(odd, None).collect()} == {"und"}
     assert language.predict(none, model).count() == 0
+    # a text that a third of the rows repeat teaches once
+    few = [(f"das ist der {w} und die {w} ist nicht da", "de") for w in ("Baum", "Weg", "Wald")] + [(f"the {w} is here and it was not there", "en") for w in ("tree", "way", "wood")]
+    copies = spark.createDataFrame(few + [("one and the same", "en")] * 6000, "text string, lang string").withColumn("doc_id", F.lit(1))
+    said = {r["lang_pred"] for r in language.predict(copies.filter("lang = 'de'"), language.fit(copies)).collect()}
+    assert said == {"de"}
 
 
 def test_sharding(spark, odd, none):
@@ -347,6 +354,25 @@ def test_encoder_equals_the_library(text):
     assert np.frombuffer(encode([text])[0], "<u4").tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_new_words_encoded_in_rows_equal_the_library():
+    encode = packing.encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    words = [w + str(i) for i, w in enumerate(["it's", "<|endoftext|>", "été", "日本", "a_b", "3.14", "\u0120x", "Ċ"] * 90)]
+    texts = [" ".join(words), "\n".join(words[::-1]), " ".join(words) + " ", " " + "\n".join(words)]
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in encode(texts)] == [encode.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_unit_cache_is_bounded():
+    calls = []
+    cache = UnitCache(lambda units: calls.append(units) or map(str.upper, units), limit=100, chars=50)
+    for n in range(40):
+        units = ["kept", f"w{n}" * 5]
+        assert [cache.table(units)[u] for u in units] == [u.upper() for u in units]
+        assert sum(map(len, cache.young)) <= 50 and sum(map(len, cache.old)) <= 50
+    assert sum("kept" in c for c in calls) == 1
+    long = ["x" * 80, "y" * 80]
+    assert [cache.table(long)[u] for u in long] == [u.upper() for u in long]
+
+
 def test_configurations_cover_the_histogram():
     rng = np.random.default_rng(1)
     histogram = Counter(rng.integers(1, 101, 5000).tolist())
