@@ -138,7 +138,7 @@ def cluster_size_balance(spark, sf):
 def evaluation_grid(spark, sf):
     rows = as_vector(x.vectors(spark, sf), "embedding", "full")
     both = e.pca_embed(rows, 4, "full", "pca4").select("id", "outcome", "label", "full", "pca4")
-    return flows.evaluation_grid(both, "id", ["pca4"], "outcome", ["outcome", "label"], ks=(3, 4), n_init=1, reps=2)
+    return flows.evaluation_grid(both, "id", ["pca4"], "outcome", ["outcome", "label"], ks=(3, 4), n_init=1, reps=2, level="label")
 
 
 _METRICS = ("silhouette", "stability_ari", "external_separation")

@@ -151,3 +151,11 @@ _DIRECTIONS = {"n_orders": "spend_cents", "urgent": "avg_cents", "bal": "sparse_
 SELECT feature, {r6('c')} AS corr, CASE WHEN COALESCE(c >= 0, FALSE) THEN 'positive' ELSE 'negative' END AS direction FROM r ORDER BY m DESC, feature LIMIT 4""")
 def attribution_direction(spark, sf):
     return rounded(p.attribution_direction(x.clean(spark, sf), _DIRECTIONS, 4), "corr")
+
+
+@query("contribution_direction", f"WITH {x.CLEAN_CTE}, long AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS v, {b} * ({c} - AVG({c}) OVER ()) AS w FROM clean" for c, b in _BETA.items()) + f""")
+SELECT feature, {r6('CORR(v, w)')} AS corr, CASE WHEN COALESCE(CORR(v, w) >= 0, FALSE) THEN 'positive' ELSE 'negative' END AS direction
+FROM long WHERE v IS NOT NULL GROUP BY feature ORDER BY AVG(ABS(w)) DESC, feature LIMIT 4""")
+def contribution_direction(spark, sf):
+    return rounded(p.contribution_direction(p.linear_contributions(x.clean(spark, sf), "id", _BETA), 4), "corr")

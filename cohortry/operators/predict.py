@@ -52,13 +52,20 @@ def stratified_split(df: DataFrame, id_col: str, label: str, test_share: float =
 
 def train_classifiers(train: DataFrame, label: str = "label", features: str = "features", multiclass: bool = False,
                       trees: int = 300, rounds: int = 300, depth: int = 4, rate: float = 0.05,
-                      row_share: float = 0.8, seed: int = 42, models: Sequence[str] = ("LR", "RF", "GBT")) -> dict:
-    """Fitted models by name. Boosting of several classes is one-vs-rest, since Spark boosts two."""
+                      row_share: float = 0.8, column_share: float = 0.8, forest_depth: int = 30, penalty: float = 1.0,
+                      seed: int = 42, models: Sequence[str] = ("LR", "RF", "GBT")) -> dict:
+    """Fitted models by name. Boosting of several classes is one-vs-rest, since Spark boosts two.
+
+    ``penalty`` weighs half the squared coefficients against the sum of the losses of all rows. Forests grow as deep as Spark
+    allows; boosting draws its columns per node.
+    """
     common = dict(featuresCol=features, labelCol=label)
-    boosted = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=row_share, seed=seed, **common)
+    boosted = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=row_share,
+                            featureSubsetStrategy=str(column_share), seed=seed, **common)
     makers = {
-        "LR": lambda: LogisticRegression(maxIter=2000, regParam=1e-4, **common),
-        "RF": lambda: RandomForestClassifier(numTrees=trees, maxDepth=12, seed=seed, **common),
+        # Spark takes the mean of the losses
+        "LR": lambda: LogisticRegression(maxIter=2000, regParam=penalty / max(1, train.count()), standardization=False, **common),
+        "RF": lambda: RandomForestClassifier(numTrees=trees, maxDepth=forest_depth, seed=seed, **common),
         "GBT": lambda: OneVsRest(classifier=boosted, **common) if multiclass else boosted,
     }
     return {m: makers[m]().fit(train) for m in models}
@@ -223,3 +230,19 @@ def attribution_direction(df: DataFrame, pairs: Mapping[str, str], top: int = 10
         for i, f in enumerate(pairs)])))
     return long.orderBy(F.desc("mean_abs"), "feature").limit(top).select(
         "feature", "corr", F.when(is_true(F.col("corr") >= 0), "positive").otherwise("negative").alias("direction"))
+
+
+def linear_contributions(df: DataFrame, id_col: str, weights: Mapping[str, float]) -> DataFrame:
+    """(id, feature, value, contribution) per row: weight times the distance of the value from its mean; no row for a missing value."""
+    means = df.agg(*[F.avg(safe_numeric(col(c))).alias(f"m{i}") for i, c in enumerate(weights)]).first()  # one row
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), safe_numeric(col(c)).alias("value"),
+                               (F.lit(float(w)) * (safe_numeric(col(c)) - F.lit(means[i]))).alias("contribution"))
+                      for i, (c, w) in enumerate(weights.items())])
+    return df.select(col(id_col), F.inline(cells)).filter("value IS NOT NULL")
+
+
+def contribution_direction(contributions: DataFrame, top: int = 10) -> DataFrame:
+    """(feature, corr, direction) of the ``top`` features by mean absolute contribution, from ``linear_contributions``."""
+    each = contributions.groupBy("feature").agg(F.corr("value", "contribution").alias("corr"), F.avg(F.abs("contribution")).alias("mean_abs"))
+    return each.orderBy(F.desc("mean_abs"), "feature").limit(top).select(
+        "feature", "corr", F.when(is_true(F.col("corr") >= 0), "positive").otherwise("negative").alias("direction"))

@@ -6,11 +6,12 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from ..functions.columns import col
+from ..functions.sizes import broadcast_if_small
 from ..operators import clean, embed, evaluate, features, predict, profile, score
 
 
@@ -38,9 +39,12 @@ def fitter(clusterer: str, vec: str, n_init: int | None = None):
 def evaluation_grid(df: DataFrame, id_col: str, methods: Sequence[str], outcome: str, external: Sequence[str],
                     clusterers: Sequence[str] = ("kmeans", "gmm"), ks: Sequence[int] = (3, 4, 5, 6), seed: int = 2026,
                     n_init: int | None = None, stability: str = "bootstrap", reps: int = 8,
-                    silhouette_mode: str = "exact") -> DataFrame:
+                    silhouette_mode: str = "exact", level: str | None = None) -> DataFrame:
     """One row of metrics per (method, clusterer, k). ``methods`` names vector columns of ``df``.
 
+    Besides the inner metrics: how far the clusters explain the outcome (eta squared), the rank correlation of the outcome
+    with the clusters in the order of their mean outcome, and the mutual information with the column ``level``, if given.
+
     Fits run one after the other on a persisted frame, but each metric is computed for all
     candidates of a method at once, and only the metric rows reach the driver.
     """
@@ -53,15 +57,24 @@ def evaluation_grid(df: DataFrame, id_col: str, methods: Sequence[str], outcome:
         for (c, k), name in zip(candidates, names):
             labelled = fitter(c, method, n_init)(labelled, k, seed, name)
         labelled = labelled.withColumn("__v", vector_to_array(col(method))).persist(StorageLevel.MEMORY_AND_DISK)
-        long = labelled.select(col(id_col), "__v", *[col(c) for c in external], F.inline(F.array(*[
+        carried = dict.fromkeys([*external, outcome, *([level] if level else [])])
+        long = labelled.select(col(id_col), "__v", *[col(c) for c in carried], F.inline(F.array(*[
             F.struct(F.lit(n).alias("labeling"), col(n).alias("cluster")) for n in names])))
         by = ["labeling"]
         sizes = evaluate.effect_sizes(evaluate.group_moments(long, "cluster", external, by), by, min_values=30)
+        told = evaluate.effect_sizes(evaluate.group_moments(long, "cluster", [outcome], by), by)
+        mean = long.groupBy("labeling", "cluster").agg(F.avg(col(outcome)).alias("__m"))
+        place = F.row_number().over(Window.partitionBy("labeling").orderBy("__m", "cluster"))
+        ordered = long.select("labeling", "cluster", col(outcome)).join(
+            broadcast_if_small(mean.select("labeling", "cluster", place.alias("__place"))), ["labeling", "cluster"])
         tables = [
+            told.select("labeling", F.col("eta_squared").alias("outcome_eta2")),
+            evaluate.spearman(ordered, "__place", outcome, by).select("labeling", F.col("spearman").alias("outcome_spearman")),
+            *([evaluate.normalized_mutual_info(long, "cluster", level, by).select("labeling", F.col("nmi").alias("level_nmi"))] if level else []),
             evaluate.silhouette(labelled, id_col, "__v", names, silhouette_mode),
             evaluate.calinski_harabasz(long, "__v", "cluster", by), evaluate.davies_bouldin(long, "__v", "cluster", by),
             long.groupBy("labeling", "cluster").count().groupBy("labeling").agg(
-                (F.min("count") / F.sum("count")).alias("min_cluster_ratio")),
+                (F.min("count") / F.sum("count")).alias("min_cluster_ratio"), (F.max("count") / F.sum("count")).alias("max_cluster_ratio")),
             sizes.groupBy("labeling").agg(F.avg(F.when(F.col("varies"), F.col("eta_squared"))).alias("external_separation")),
         ]
         found: dict[str, dict] = {n: {} for n in names}
@@ -75,12 +88,14 @@ def evaluation_grid(df: DataFrame, id_col: str, methods: Sequence[str], outcome:
                 else evaluate.seed_stability(labelled, name, k, fit, range(reps))
             m = found[name]
             rows.append((method, c, k, m["silhouette"], m["calinski_harabasz"], m["davies_bouldin"],
-                         agree.first()["stability_ari"], m["min_cluster_ratio"], m.get("external_separation") or 0.0))
+                         agree.first()["stability_ari"], m["min_cluster_ratio"], m["max_cluster_ratio"], m.get("external_separation") or 0.0,
+                         m.get("outcome_eta2"), m.get("outcome_spearman"), m.get("level_nmi")))
         labelled.unpersist()
     base.unpersist()
     return df.sparkSession.createDataFrame(
         rows, "method string, clusterer string, k int, silhouette double, calinski_harabasz double, davies_bouldin double, "
-              "stability_ari double, min_cluster_ratio double, external_separation double")
+              "stability_ari double, min_cluster_ratio double, max_cluster_ratio double, external_separation double, "
+              "outcome_eta2 double, outcome_spearman double, level_nmi double")
 
 
 def subtype(df: DataFrame, id_col: str, outcome: str, external: Sequence[str], pca_dims: int,

@@ -1,7 +1,14 @@
-"""The survey's own rules and scores, ready for the scoring operators."""
+"""The survey's own rules, scores, leakage lists, report names and text cards, ready for the operators."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.columns import col
+from ..operators import clean, features
 from ..operators.score import Centered, ConditionalImpact, Linear, Mean, Rule, Speed, StratumRule, StratumScale
 from .. import presets as p
 
@@ -28,3 +35,26 @@ SCORES = {
     "sensory": Mean(((_sense("听力障碍", "感知-听力", "听力障碍是否影响日常"), 0.5),
                      (_sense("视力障碍", "感知-视力", "视力障碍是否影响日常"), 0.5))),
 }
+
+
+def clipped_counts(df: DataFrame) -> DataFrame:
+    """The counts of diseases, drugs and visits clipped to their own 1 % and 99 % quantiles."""
+    return clean.winsorize(df, [c for c in p.WINSORIZED if c in df.columns])
+
+
+def without_inputs(df: DataFrame, keep: Sequence[str] = (), functional: bool = False) -> DataFrame:
+    """Without the columns that the scores are made of, and, if ``functional``, without anything named like a function test."""
+    left = df.drop(*[c for c in p.LEAKAGE_FIELDS if c not in keep])
+    return clean.drop_by_pattern(left, p.FUNCTIONAL_PATTERNS, keep) if functional else left
+
+
+def report(df: DataFrame, first: Sequence[str] = ()) -> DataFrame:
+    """Scores, summary and outcomes under their report names."""
+    return clean.rename_alias(df, p.SCORE_ALIAS | p.SUMMARY_ALIAS | p.EXTERNAL_ALIAS, first)
+
+
+def card(df: DataFrame, id_col: str, out: str = "text_card") -> DataFrame:
+    """A text per person: the fields that are present, by section."""
+    have = {name: [(c, col(c).cast("string")) for c in fields if c in df.columns] for name, fields in p.CARD_SECTIONS.items()}
+    lead = F.concat(F.lit("Person "), col(id_col).cast("string"), F.lit("."))
+    return features.text_card(df, lead, {name: fields for name, fields in have.items() if fields}, out=out)

@@ -16,14 +16,6 @@ NUMERIC_KEYWORDS = (
     "次数", "数量", "年数", "得分", "总分", "时间", "速度", "评分", "剂量", "kg", "cm", "mm",
 )
 
-COUNT_KEYWORDS = ("次数", "数量", "年数")
-
-SCALE_KEYWORDS = ("得分", "总分", "量表", "评分")
-
-CATEGORY_FIELDS = ("性别", "婚姻状况", "文化程度", "受试来源", "民族", "经济状况", "家庭类型", "健康状态")
-
-REGION_FIELDS = ("省", "市", "区")
-
 MISSING_BINS = (
     ("<=5%", 0.05), ("5-20%", 0.2), ("20-50%", 0.5), ("50-80%", 0.8), ("80-95%", 0.95), ("95-100%", 1.0),
 )
@@ -81,8 +73,6 @@ FUNCTIONAL_PATTERNS = (
     "认知", "心理", "感知", "活力", "营养", "小腿围", "BMI", "视力", "听力", "SPPB",
 )
 
-OUTCOMES = ("ADL量表-总分", "IADL量表-总分")
-
 # --- fixed values: report names ---------------------------------------------------
 
 EXTERNAL_ALIAS = {
@@ -123,37 +113,10 @@ SCORE_ALIAS = {
     "total_100": "Overall IC",
 }
 
-# --- fixed values: curated features and texts ---------------------------------------
+# --- fixed values: clipped counts and text cards ---------------------------------------
 
 WINSORIZED = ("患有慢性病数量", "服用药物数量", "过去一年住院次数", "过去一年急诊次数", "查尔森合并症得分")
 
-CORE_FEATURES = (
-    "年龄", "性别", "婚姻状况", "家庭类型", "文化程度", "经济状况", "受试来源", "健康状态", "健康自评分数",
-    "患有慢性病数量", "服用药物数量", "过去一年住院次数", "过去一年急诊次数", "查尔森合并症得分",
-    "是否高血压", "是否糖尿病", "是否骨关节病", "是否骨质疏松", "是否脑血栓", "是否焦虑抑郁症", "是否白内障", "是否青光眼",
-    "听力障碍", "听力障碍是否影响日常", "视力障碍", "视力障碍是否影响日常", "自我感觉嗅觉",
-    "感知-视力", "感知-听力",
-    "认知-总分", "心理-总分",
-    "活力-过去三个月内有没有因为食欲不振、消化问题、咀嚼或吞咽困难而摄食减少",
-    "活力-过去三个月内体重下降情况", "活力-活动能力", "活力-既往3个月内有无重大心理变化或急性疾病",
-    "活力-神经心理问题", "活力-BMI得分", "活力-BMI值", "活力-如不能取得BMI，请以下面小腿围代替问题6",
-    "活力-总分", "活力-营养描述结果",
-    "体重", "身高", "小腿围",
-    "运动-双脚并拢站立10秒-保持时间为:", "运动-双脚半前后位站立10秒-保持时间为:", "运动-双脚前后成一直线站立10秒-保持时间为:",
-    "运动-从椅子上站起，让其尽快地起立5次-完成时间为", "运动-从椅子上站起，让其尽快地起立5次-完成次数为",
-    "运动-4米行走时间：日常行走速度走完4米-平均完成时间", "运动是否完成编码", "运动-总分", "步态异常-编码",
-    "Fried衰弱表型评估-4米行走第一次", "Fried衰弱表型评估-4米行走第二次",
-    "Fried衰弱表型评估-握力左手最大值", "Fried衰弱表型评估-握力右手最大值",
-    "生活行为与社会功能评估-7您是否有吸烟习惯？", "生活行为与社会功能评估-8您是否喝酒？",
-)
-
-CARD_FIELDS = (
-    "年龄", "性别", "婚姻状况", "文化程度", "省", "市", "患有慢性病数量", "服用药物数量",
-    "过去一年住院次数", "过去一年急诊次数", "是否高血压", "是否糖尿病", "是否骨质疏松", "是否脑血栓",
-    "是否焦虑抑郁症", "听力障碍", "视力障碍", "活力-BMI值", "认知-总分", "心理-总分", "活力-总分",
-    "运动-总分", "生活行为与社会功能评估-总分",
-)
-
 CARD_SECTIONS = {
     "Demographics": ("年龄", "性别", "婚姻状况", "家庭类型", "文化程度", "经济状况", "健康状态", "健康自评分数"),
     "Burden": ("患有慢性病数量", "服用药物数量", "过去一年住院次数", "过去一年急诊次数", "查尔森合并症得分"),
@@ -168,28 +131,3 @@ CARD_SECTIONS = {
                    "运动-4米行走时间：日常行走速度走完4米-平均完成时间",
                    "Fried衰弱表型评估-握力左手最大值", "Fried衰弱表型评估-握力右手最大值"),
 }
-
-FLAG_PREFIX = "是否"
-FLAG_WORD = "障碍"
-YES, NO = "是", "否"
-
-# --- fixed values: feature groups by exact name, then by prefix or part of the name ----
-
-GROUP_COLUMNS = {
-    "demographics": ("年龄", "性别", "婚姻状况", "家庭类型", "文化程度", "经济状况", "受试来源"),
-    "self_health": ("健康状态", "健康自评分数"),
-    "disease_burden": (
-        "患有慢性病数量", "服用药物数量", "过去一年住院次数", "过去一年急诊次数", "查尔森合并症得分",
-        "是否高血压", "是否糖尿病", "是否骨关节病", "是否骨质疏松", "是否脑血栓", "是否焦虑抑郁症", "是否白内障", "是否青光眼"),
-    "sensory": ("听力障碍", "听力障碍是否影响日常", "视力障碍", "视力障碍是否影响日常", "自我感觉嗅觉", "感知-视力", "感知-听力"),
-    "lifestyle": ("生活行为与社会功能评估-7您是否有吸烟习惯？", "生活行为与社会功能评估-8您是否喝酒？"),
-}
-GROUP_PATTERNS = (
-    ("cognition", ("认知%", "%认知%", "IC_cognition%")),
-    ("psychological", ("心理%", "%焦虑%", "%抑郁%", "IC_psychological%")),
-    ("vitality", ("活力%", "体重", "身高", "小腿围", "IC_vitality%")),
-    ("locomotion", ("运动%", "Fried%", "%步态%", "IC_locomotion%")),
-    ("sensory", ("%听力%", "%视力%", "%感知%", "%嗅觉%", "IC_sensory%")),
-    ("disease_burden", ("%慢性病%", "%住院%", "%急诊%", "%查尔森%", "是否%")),
-)
-DEFAULT_GROUP = "self_health"

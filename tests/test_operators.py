@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from cohortry import presets
@@ -494,6 +495,46 @@ def test_subtyping_end_to_end(spark):
     assert means == sorted(means)
 
 
+def test_grid_tells_how_clusters_meet_the_outcome(spark):
+    data = [(i, float(i % 3) * 10 + (i % 5) * 0.1, float((i * 2) % 3) * 4 + i % 2, i % 3) for i in range(90)]
+    df = spark.createDataFrame(data, "id long, x double, outcome double, level int").withColumn("vec", array_to_vector(F.array("x")))
+    row = flows.evaluation_grid(df, "id", ["vec"], "outcome", ["x"], ["kmeans"], (3,), n_init=2, reps=1, level="level").first()
+    eta = evaluate.anova_eta2(df, "level", ["outcome"]).first()["eta_squared"]
+    rank = df.withColumn("place", (F.col("level") * 2) % 3)
+    assert row["outcome_eta2"] == pytest.approx(eta) and row["level_nmi"] == pytest.approx(1.0)
+    assert row["outcome_spearman"] == pytest.approx(evaluate.spearman(rank, "place", "outcome").first()["spearman"])
+    assert row["min_cluster_ratio"] == row["max_cluster_ratio"] == pytest.approx(1 / 3)
+
+
+def test_contributions_of_a_linear_model(spark):
+    df = spark.createDataFrame([(1, 1.0, 5.0), (2, 3.0, None), (3, 5.0, 1.0)], "id int, a double, b double")
+    long = predict.linear_contributions(df, "id", {"a": 2.0, "b": -1.0})
+    assert {(r["id"], r["feature"]): r["contribution"] for r in long.collect()} == {
+        (1, "a"): -4.0, (2, "a"): 0.0, (3, "a"): 4.0, (1, "b"): -2.0, (3, "b"): 2.0}
+    got = [(r["feature"], round(r["corr"], 9), r["direction"]) for r in predict.contribution_direction(long).collect()]
+    assert got == [("a", 1.0, "positive"), ("b", -1.0, "negative")]
+
+
+def test_penalty_counts_rows(spark):
+    data = [(float(x), 1.0 if x + (x * 7) % 3 > 5 else 0.0) for x in range(-10, 20)]
+    df = spark.createDataFrame(data, "x double, label double").withColumn("features", array_to_vector(F.array("x")))
+    model = predict.train_classifiers(df, models=["LR"])["LR"]
+    w, b = model.coefficients[0], model.intercept
+    miss = [(1 / (1 + math.exp(-(w * x + b))) - y, x) for x, y in data]
+    # at the optimum of half the squared weight plus the sum of the losses
+    assert abs(w + sum(m * x for m, x in miss)) < 1e-2 and abs(sum(m for m, _ in miss)) < 1e-2
+
+
+def test_survey_leakage_report_and_card(spark):
+    df = spark.createDataFrame([(1, 70, 30.0, 2, "x"), (2, None, 10.0, 9, "y")], ["id", "年龄", "认知-总分", "服用药物数量", "其他"])
+    assert survey.without_inputs(df).columns == ["id", "年龄", "服用药物数量", "其他"]
+    assert "认知-总分" in survey.without_inputs(df, keep=["认知-总分"], functional=True).columns
+    assert survey.report(df, ["id"]).columns == ["id", "Age", "Medication count", "Cognition raw score"]
+    cards = [r["text_card"] for r in survey.card(df, "id").orderBy("id").collect()]
+    assert cards[0] == "Person 1. Demographics: 年龄=70. Burden: 服用药物数量=2. Cognition: 认知-总分=30.0." and "年龄" not in cards[1]
+    assert survey.clipped_counts(df).columns == df.columns
+
+
 def test_few_numbers_among_many_texts(spark):
     for n in (2_000, 8_000):
         df = spark.range(n).select(F.when(F.col("id") % 20 == 0, F.concat(F.lit("remark "), "id")).otherwise((F.col("id") % 3).cast("string")).alias("x"))
