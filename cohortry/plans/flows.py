@@ -61,21 +61,21 @@ def evaluation_grid(df: DataFrame, id_col: str, methods: Sequence[str], outcome:
         long = labelled.select(col(id_col), "__v", *[col(c) for c in carried], F.inline(F.array(*[
             F.struct(F.lit(n).alias("labeling"), col(n).alias("cluster")) for n in names])))
         by = ["labeling"]
-        sizes = evaluate.effect_sizes(evaluate.group_moments(long, "cluster", external, by), by, min_values=30)
-        told = evaluate.effect_sizes(evaluate.group_moments(long, "cluster", [outcome], by), by)
+        sizes = evaluate.effect_sizes(evaluate.group_moments(long, "cluster", list(dict.fromkeys([*external, outcome])), by), by)
         mean = long.groupBy("labeling", "cluster").agg(F.avg(col(outcome)).alias("__m"))
         place = F.row_number().over(Window.partitionBy("labeling").orderBy("__m", "cluster"))
         ordered = long.select("labeling", "cluster", col(outcome)).join(
             broadcast_if_small(mean.select("labeling", "cluster", place.alias("__place"))), ["labeling", "cluster"])
         tables = [
-            told.select("labeling", F.col("eta_squared").alias("outcome_eta2")),
             evaluate.spearman(ordered, "__place", outcome, by).select("labeling", F.col("spearman").alias("outcome_spearman")),
             *([evaluate.normalized_mutual_info(long, "cluster", level, by).select("labeling", F.col("nmi").alias("level_nmi"))] if level else []),
             evaluate.silhouette(labelled, id_col, "__v", names, silhouette_mode),
             evaluate.calinski_harabasz(long, "__v", "cluster", by), evaluate.davies_bouldin(long, "__v", "cluster", by),
             long.groupBy("labeling", "cluster").count().groupBy("labeling").agg(
                 (F.min("count") / F.sum("count")).alias("min_cluster_ratio"), (F.max("count") / F.sum("count")).alias("max_cluster_ratio")),
-            sizes.groupBy("labeling").agg(F.avg(F.when(F.col("varies"), F.col("eta_squared"))).alias("external_separation")),
+            sizes.groupBy("labeling").agg(
+                F.avg(F.when(F.col("varies") & (F.col("n") >= 30) & F.col("feature").isin(*external), F.col("eta_squared"))).alias("external_separation"),
+                F.max(F.when(F.col("feature") == outcome, F.col("eta_squared"))).alias("outcome_eta2")),
         ]
         found: dict[str, dict] = {n: {} for n in names}
         for t in tables:
