@@ -114,9 +114,11 @@ class Tree:
                         found = cost, v, cut
         return found and found[1:]
 
-    def route(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(index into x, leaf, is home) for the home leaf of each point and for every leaf it must query."""
-        at, node, home = np.arange(len(x)), np.zeros(len(x), np.int64), np.ones(len(x), bool)
+    def route(self, x: np.ndarray, homes: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(index into x, leaf, is home) for the home leaf of each point and for every leaf it must query. Points from
+        ``homes`` on have their home elsewhere: they only ask, on both sides of a boundary that is near."""
+        at, node = np.arange(len(x)), np.zeros(len(x), np.int64)
+        home = at < (len(x) if homes is None else homes)
         for level in range(self.depth):
             here = (1 << level) - 1 + node
             d, cut = self._distance(x[at], self.vantage[here]), self.split[here]
@@ -159,8 +161,7 @@ def _unite(x: np.ndarray, homes: int, bits: int, half: Half, label: np.ndarray,
     if homes <= 2 * LEAF or depth > 3:
         return _brute(x, homes, bits, label, which)
     tree = Tree(x[:homes:max(1, homes // 2048)], max(1, int(math.log2(homes / LEAF))), half)
-    at, leaf, home = tree.route(x)
-    home &= at < homes  # what asks here never becomes a home point
+    at, leaf, home = tree.route(x, homes)
     order = np.lexsort((~home, leaf))
     at, leaf, home = at[order], leaf[order], home[order]
     for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(leaf)) + 1):

@@ -272,6 +272,27 @@ def test_vantage_trees_lose_no_link(spark, monkeypatch):
     assert sorted(map(sorted, ours.values())) == sorted(map(sorted, theirs.values()))
 
 
+@pytest.mark.parametrize("which", [0, 1])
+def test_large_shard_loses_no_link(which):
+    half = simhash.halves(4)[which]
+    rng = np.random.default_rng(which)
+    home = np.unique(rng.integers(0, 2**63, 3 * simhash.LEAF, dtype=np.uint64))
+    assert len(home) > 2 * simhash.LEAF
+    # each asking point differs from one home point by the half's radius, in bits that the half looks at
+    low = 32 if half.mask >> 32 else 0
+    asks = home.copy()
+    for i in range(len(asks)):
+        for b in rng.choice(32, half.radius, replace=False):
+            asks[i] ^= np.uint64(1) << np.uint64(low + b)
+    x = np.concatenate((home, asks))
+    everyone = np.arange(len(x))
+    want = simhash._root(simhash._brute(x, len(home), 4, everyone.copy(), everyone))
+    ours = simhash._root(simhash._unite(x, len(home), 4, half, everyone.copy(), everyone))
+    # every home point and the point made from it are linked; all components are those of the brute force
+    assert (want[:len(home)] == want[len(home):]).all()
+    assert len(np.unique(np.stack((want, ours)), axis=1).T) == len(np.unique(want)) == len(np.unique(ours))
+
+
 def test_token_counts(spark, none):
     path = public_tokenizers.path("piece_bpe_32k.model")
     model = sentencepiece.SentencePieceProcessor(model_file=path)
