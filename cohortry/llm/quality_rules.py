@@ -1,12 +1,13 @@
 """Quality rules with risk-controlled thresholds (operator 3).
 
 Each document gets plain statistics of its whole text. A rule rejects a document whose rate lies above a cutoff. The
-cutoffs are chosen per stratum from labelled holdout documents: candidates are tested from lenient to strict, and a
-candidate is certified if an exact binomial test at level ``delta / (rules * strata)`` shows that it rejects at most
-``alpha / rules`` of good documents (the one-sided Clopper-Pearson bound lies below that share). Testing stops at the
-first candidate that fails (fixed-sequence testing), Bonferroni holds over rules and strata. So, with probability
-``1 - delta``, at most the share ``alpha`` of the good documents of any stratum is rejected. A rule without a certified
-cutoff is off in that stratum.
+cutoffs are chosen per stratum from labelled holdout documents: one sequence of cutoffs of all rules together, fixed
+beforehand and from lenient to strict, is tested step by step. A step is certified if an exact binomial test at level
+``delta / strata`` shows that its rules together reject at most the share ``alpha`` of good documents (the one-sided
+Clopper-Pearson bound lies below that share). Testing stops at the first step that fails (fixed-sequence testing),
+Bonferroni holds over strata only. So, with probability ``1 - delta``, at most the share ``alpha`` of the good documents
+of any stratum is rejected. Strata with too few good labels for any step are tested as one pool; there the share holds for
+the pool as a whole. A stratum without good labels, or where the first step fails, has the base rules only.
 
 Everything is DataFrame functions. The labelled counts shrink to one row per stratum before anything is windowed.
 
@@ -19,8 +20,10 @@ Defined results
 from __future__ import annotations
 
 import math
+import operator
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -102,25 +105,48 @@ def risk_is_below(k: Column, n: Column, risk: float, level: Column) -> Column:
     return F.when(k >= n * risk, F.lit(False)).otherwise(log_k + F.ln(tail) <= F.ln(level))
 
 
+def steps(rules: Sequence[Rule] = RULES) -> list[tuple[float, ...]]:
+    """The cutoffs of all rules together, from lenient to strict; a rule with fewer candidates repeats some."""
+    n = max((len(r.cutoffs) for r in rules), default=0)
+    return [tuple(float(r.cutoffs[j * len(r.cutoffs) // n]) for r in rules) for j in range(n)]
+
+
+def least_labels(strata: int, alpha: float = 0.03, delta: float = 0.05) -> int:
+    """The fewest good labels with which a step that rejects none of them is certified at level ``delta / strata``."""
+    return math.ceil(math.log(delta / strata) / math.log(1 - alpha))
+
+
 def certified_cutoffs(good: DataFrame, rules: Sequence[Rule] = RULES, alpha: float = 0.03, delta: float = 0.05) -> DataFrame:
-    """(stratum, one column per rule) from the statistics of good documents that pass the base rules; NULL: rule is off."""
+    """(stratum, pooled, n, k, one column per rule) from the statistics of good documents that pass the base rules.
+
+    n, k: the good labels that the last certified step was tested on, and how many of them it rejects. Strata without a
+    certified step are absent.
+    """
+    path = steps(rules)
     counts = good.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *[
-        F.sum((r.rate() > c).cast("long")).alias(f"{r.name}_{j}") for r in rules for j, c in enumerate(r.cutoffs)])
+        F.sum(reduce(operator.or_, [r.rate() > c for r, c in zip(rules, cuts)]).cast("long")).alias(f"k_{j}") for j, cuts in enumerate(path)])
     counts = stored(counts, "label_counts")
-    strata = max(1, counts.count())
-    tests = counts.select("stratum", "n", F.explode(F.array(*[
-        F.struct(F.lit(r.name).alias("rule"), F.lit(j).alias("j"), F.lit(float(c)).alias("cutoff"), F.col(f"{r.name}_{j}").alias("k"))
-        for r in rules for j, c in enumerate(r.cutoffs)])).alias("t")).select("stratum", "n", "t.*")
-    passes = risk_is_below(F.col("k"), F.col("n"), alpha / len(rules), F.lit(delta / (len(rules) * strata)))
-    so_far = Window.partitionBy("stratum", "rule").orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
+    least = least_labels(max(1, counts.count()), alpha, delta)
+    pooled = F.col("n") < least
+    counts = counts.select("stratum", pooled.alias("pooled"), F.when(pooled, F.lit("")).otherwise(F.concat(F.lit("="), "stratum")).alias("part"),
+                           "n", *[f"k_{j}" for j in range(len(path))])
+    parts = counts.groupBy("part").agg(F.sum("n").alias("n"), *[F.sum(f"k_{j}").alias(f"k_{j}") for j in range(len(path))])
+    level = delta / max(1, parts.count())
+    tests = parts.select("part", "n", F.explode(F.array(*[
+        F.struct(F.lit(j).alias("j"), F.col(f"k_{j}").alias("k"), *[F.lit(c).alias(f"cut_{r.name}") for r, c in zip(rules, cuts)])
+        for j, cuts in enumerate(path)])).alias("t")).select("part", "n", "t.*")
+    so_far = Window.partitionBy("part").orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
+    passes = risk_is_below(F.col("k"), F.col("n"), alpha, F.lit(level))
     held = tests.withColumn("all", F.min(passes.cast("int")).over(so_far)).filter(F.col("all") == 1)
-    return held.groupBy("stratum").agg(*[F.min(F.when(F.col("rule") == r.name, F.col("cutoff"))).alias(f"cut_{r.name}") for r in rules])
+    names = ["n", "k", *[f"cut_{r.name}" for r in rules]]
+    last = held.groupBy("part").agg(F.max_by(F.struct(*names), "j").alias("last"))
+    return counts.select("stratum", "pooled", "part").join(last, "part").select("stratum", "pooled", *[f"last.{c}" for c in names])
 
 
 def judge(stats: DataFrame, good_ids: DataFrame, rules: Sequence[Rule] = RULES, alpha: float = 0.03, delta: float = 0.05) -> DataFrame:
     """The statistics with base_failed, kept, and the name of the first rule that rejected. ``good_ids``: doc_id of good holdouts."""
     good = stats.filter(~base_failed()).join(good_ids.select("doc_id").distinct(), "doc_id", "left_semi")
-    cuts = stored(certified_cutoffs(good, rules, alpha, delta), "cutoffs")  # one row per stratum
+    cuts = stored(certified_cutoffs(good, rules, alpha, delta).drop("pooled", "n", "k"), "cutoffs")  # one row per stratum
     over = F.coalesce(*[F.when(r.rate() > F.col(f"cut_{r.name}"), F.lit(r.name)) for r in rules])
     return (stats.join(cuts, "stratum", "left").withColumn("base_failed", base_failed()).withColumn("rejected_by", over)
             .withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull()))

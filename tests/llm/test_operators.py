@@ -160,6 +160,19 @@ def test_cutoffs_reject_junk_and_spare_good(spark, none):
     assert quality_rules.keep_good(none, labels).count() == 0
 
 
+def test_small_strata_get_cutoffs(spark):
+    # good labels by stratum, and how many of them have a symbol rate of 0.12
+    strata = {"a": (200, 0), "b": (200, 20), "c": (150, 0), "d": (90, 0), "e": (80, 0)}
+    rows = [(s, 12 if i < high else 0) for s, (n, high) in strata.items() for i in range(n)]
+    stats = spark.createDataFrame(rows, "stratum string, n_symbols long").select(
+        "*", F.lit(20).alias("n_words"), *[F.lit(100).alias(c) for c in ("word_chars", "n_lines")],
+        *[F.lit(0).alias(c) for c in ("n_dup_lines", "n_repeat_words", "n_upper", "n_marks")])
+    cuts = {r["stratum"]: r for r in quality_rules.certified_cutoffs(stats).collect()}
+    assert {s: (r["cut_symbols"], r["pooled"], r["n"]) for s, r in cuts.items()} == {
+        "a": (0.02, False, 200), "b": (0.15, False, 200), "c": (0.02, True, 320), "d": (0.02, True, 320), "e": (0.02, True, 320)}
+    assert quality_rules.least_labels(5) == 152 and quality_rules.least_labels(4) == 144
+
+
 def test_language(spark, odd, none):
     lang = {r["doc_id"]: r["lang"] for r in documents(spark).collect()}
     rows = results(spark, "op4_identify_language")
