@@ -76,14 +76,14 @@ def normalized_mutual_info(spark, sf):
 @query("seed_stability")
 def seed_stability(spark, sf):
     rows = embedded(spark, sf).persist()
-    fit = flows.fitter("kmeans", "features", 2)
+    fit = flows.fitter("kmeans", "features")
     return rounded(g.seed_stability(fit(rows, 5, 42, "cluster"), "cluster", 5, fit), "stability_ari")
 
 
 @query("bootstrap_stability")
 def bootstrap_stability(spark, sf):
     rows = embedded(spark, sf).persist()
-    fit = flows.fitter("kmeans", "features", 2)
+    fit = flows.fitter("kmeans", "features")
     parts = g.subsamples(fit(rows, 5, 2026, "cluster"), "id")
     return rounded(g.bootstrap_stability(parts, "cluster", 5, fit), "stability_ari")
 

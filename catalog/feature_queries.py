@@ -164,13 +164,13 @@ def pca_embed(spark, sf):
 
 @query("kmeans_labels")
 def kmeans_labels(spark, sf):
-    return e.kmeans_labels(embedded(spark, sf).persist(), 6, n_init=3).select("id", "cluster")
+    return e.kmeans_labels(embedded(spark, sf).persist(), 6).select("id", "cluster")
 
 
 @query("gmm_labels")
 def gmm_labels(spark, sf):
     low = e.pca_embed(embedded(spark, sf), 4, out="low").select("id", "low").persist()
-    return e.gmm_labels(low, 4, n_init=2, features="low").select("id", "cluster")
+    return e.gmm_labels(low, 4, features="low").select("id", "cluster")
 
 
 @query("reorder_labels", f"""WITH {x.VECTORS_CTE}, means AS (SELECT label2, ROW_NUMBER() OVER (ORDER BY AVG(outcome), label2) - 1 AS r FROM vectors GROUP BY label2)
