@@ -1,8 +1,8 @@
 """Language identification by nearest centroids (operator 4).
 
 A text is a TF-IDF vector of its hashed byte trigrams, of length one. Document frequencies are counted over all training
-documents. Each language has several centroids, found by spherical k-means on a bounded sample of its training documents (at
-most ``SAMPLE_ROWS`` over all languages, drawn by a hash of the text at a rate per language). A text gets the language of the
+documents. Each language has several centroids, found by spherical k-means on a bounded sample of its training documents: the
+distinct texts of its lowest hashes, ``SAMPLE_ROWS`` over all languages, at most ``PER_LANGUAGE`` and at least one of each. A text gets the language of the
 centroid with the largest cosine. It is rejected as none of them when its cosine lies below the centroid's floor, a low
 quantile of the cosines of the centroid's own training texts; the nearest language is still returned beside that.
 
@@ -20,9 +20,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import stored
+
 SIZE = 4096
 SAMPLE_ROWS = 2048
 PER_LANGUAGE = 400
@@ -97,21 +99,22 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", seed:
     for r in counted:
         df[r["term"]] = r["n"]
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").limit(SAMPLE_ROWS).collect()}
-    if not sizes:
+    hashed = rows.withColumn("hash", F.xxhash64(F.lit(seed), "text"))
+    # copies of one text count once; every language teaches, from its texts of the lowest hashes
+    distinct = stored(hashed.groupBy("lang", "hash").agg(F.count(F.lit(1)).alias("n")).select("lang", "hash"), "hashes")
+    known = distinct.select("lang").distinct().count()
+    if not known:
         return None
-    each = min(PER_LANGUAGE, max(1, SAMPLE_ROWS // len(sizes)))
-    rates = F.create_map(*[F.lit(x) for l, n in sizes.items() for x in (l, min(1.0, each / n))])
-    draw = F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1_000_000)) / 1_000_000
-    # copies of one text are drawn together or not at all, and teach once
-    drawn = rows.filter(draw < F.element_at(rates, F.col("lang"))).dropDuplicates(["lang", "text"]).orderBy(F.xxhash64(F.lit(seed), "text"), "lang").limit(
-        2 * SAMPLE_ROWS).select("lang", "text")
+    each = min(PER_LANGUAGE, max(1, SAMPLE_ROWS // known))
+    lowest = distinct.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("hash"))).filter(F.col("place") <= each).drop("place")
+    drawn = hashed.join(lowest, ["lang", "hash"], "left_semi").dropDuplicates(["lang", "hash"]).select("lang", "text", "hash")
 
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = vectors(batch.column(1).to_pylist(), idf)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tobytes() for v in x], pa.binary())], names=["lang", "x"])
-    sample = drawn.mapInArrow(embed, "lang string, x binary").collect()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([v.tobytes() for v in x], pa.binary())], names=["lang", "hash", "x"])
+    # at most ``each`` rows a language
+    sample = sorted(drawn.mapInArrow(embed, "lang string, hash long, x binary").collect(), key=lambda r: (r["lang"], r["hash"]))
     languages, owner, centroids, floors = sorted({r["lang"] for r in sample}), [], [], []
     for k, lang in enumerate(languages):
         x = np.array([np.frombuffer(r["x"], np.float32) for r in sample if r["lang"] == lang])
