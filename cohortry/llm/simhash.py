@@ -67,13 +67,19 @@ def fingerprint(text: str | None, width: int, seed: int) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
 
 
+def text_mark(text: Column) -> Column:
+    """Tells apart the texts of rows with one identifier."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (signed 64 bits)."""
+    """doc_id, fp (signed 64 bits), mark (hash of the text)."""
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = [fingerprint(t.as_py(), width, seed) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(of, "doc_id long, fp long")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64()), batch.column(2)], names=["doc_id", "fp", "mark"])
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), text_mark(docs[text_col]).alias("mark")).mapInArrow(
+        of, "doc_id long, fp long, mark long")
 
 
 class Tree:
@@ -229,16 +235,20 @@ def stars(edges: DataFrame) -> DataFrame:
         edges = stored(down.filter("a <> b").distinct(), "star")
 
 
+def _components(nodes: DataFrame, bits: int) -> DataFrame:
+    """fp, root (a fingerprint that names the component), component_id, from nodes (fp, least)."""
+    tied = stars(links(nodes, bits))
+    both = stored(tied.select(F.col("node").alias("fp"), "root").union(tied.select(F.col("root").alias("fp"), "root").distinct()).join(nodes, "fp"), "members")
+    least = both.groupBy("root").agg(F.min("least").alias("component_id"))
+    groups = stored(both.join(least, "root").select("fp", "root", "component_id"), "components")
+    return nodes.join(groups, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id"))
+
+
 def near_groups(docs: DataFrame, width: int = 4, bits: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp, component_id: the smallest identifier that links reach."""
     marks = stored(fingerprints(docs, width, seed, id_col, text_col), "fingerprints")
     nodes = stored(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    tied = stars(links(nodes, bits))
-    both = stored(tied.select(F.col("node").alias("fp"), "root").union(tied.select(F.col("root").alias("fp"), "root").distinct()).join(nodes, "fp"), "members")
-    least = both.groupBy("root").agg(F.min("least").alias("component_id"))
-    groups = stored(both.join(least, "root").select("fp", "component_id"), "components")
-    named = nodes.join(groups, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return marks.join(named, "fp").select("doc_id", "fp", "component_id")
+    return marks.join(_components(nodes, bits), "fp").select("doc_id", "fp", "component_id")
 
 
 def hex64(fp: Column) -> Column:
@@ -246,7 +256,14 @@ def hex64(fp: Column) -> Column:
 
 
 def keep_one(docs: DataFrame, width: int = 4, bits: int = 4) -> DataFrame:
-    """The documents with the smallest identifier of their group, with the input's columns; rows without an identifier stay."""
-    gone = near_groups(docs, width, bits).filter("doc_id <> component_id").select(F.col("doc_id").alias("gone"))
+    """One document of each group, with the input's columns: the smallest identifier (a row without one only where the group has
+    no other), of these the smallest fingerprint and hash of the text. Rows equal in identifier and text stay or go together."""
+    named = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    marks = stored(fingerprints(named, width), "fingerprints")
+    nodes = stored(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    mark = F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "fp", "mark")
+    rows = marks.join(_components(nodes, bits).select("fp", "root"), "fp")
+    first = rows.groupBy("root").agg(F.min(mark).alias("first"))
+    gone = rows.join(first, "root").filter(mark != F.col("first")).select(F.col("doc_id").alias("gone"), F.col("mark").alias("gone_mark"))
     whole = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc"))
-    return whole.join(gone.distinct(), F.col("doc.doc_id").cast("long") == F.col("gone"), "left_anti").select("doc.*")
+    return whole.join(gone.distinct(), F.col("doc.doc_id").cast("long").eqNullSafe(F.col("gone")) & (text_mark(F.col("doc.text")) == F.col("gone_mark")), "left_anti").select("doc.*")
