@@ -46,7 +46,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.coalesce(F.array_max(F.transform("words", lambda w: F.length(w))), F.lit(0)).cast("double").alias("longest_word"))
     per = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
     return raw.select(
-        "doc_id", F.least("n_words", F.lit(1e6)).alias("n_words"), per("chars", "n_words").alias("word_length"), per("symbols", "chars").alias("symbols"),
+        "doc_id", "n_words", per("chars", "n_words").alias("word_length"), per("symbols", "chars").alias("symbols"),
         per("marks", "n_words").alias("marks"), per("pipes", "n_words").alias("pipes"), per("digits", "chars").alias("digits"), per("upper", "chars").alias("upper"),
         per("commas", "n_words").alias("commas"), per("periods", "n_words").alias("periods"), per("kinds", "n_words").alias("distinct_words"),
         F.when(F.col("n_lines") > 0, 1 - F.col("line_kinds") / F.col("n_lines")).otherwise(F.lit(0.0)).alias("repeated_lines"),
