@@ -1,10 +1,13 @@
 """Best-fit packing by a configuration linear program (operator 10).
 
 Only the histogram of piece lengths (one count per length, at most ``limit`` of them) reaches the driver. A configuration is a
-multiset of lengths that fits one sequence. The linear program over all configurations is solved by multiplicative weights:
-every length has a price, the most valuable configuration is found by knapsack dynamic programming over the capacity, it is
-used for a share of what is left, and the prices of the lengths it covers fall by a factor. Multiplicities are whole numbers
-that never cover a length more often than it occurs; what remains is packed best-fit decreasing, again on the histogram.
+multiset of lengths that fits one sequence. The linear program over all configurations is solved in phases by multiplicative
+weights. Lengths have prices; knapsack dynamic programming over the capacity gives the most valuable configuration, which turns
+the prices into a lower bound on the number of sequences, and for every length the best configuration that holds it, which
+joins a pool. The weights of the pool are multiplied again and again by how far their lengths are from being covered, the
+prices are moved by the same multipliers, and the phase's weights are rounded to whole multiplicities that never cover a length
+more often than it occurs. What remains, and pieces shorter than a sixteenth of a sequence, are packed best-fit decreasing into
+the rooms left and new sequences. Phases end when the packing is proved to be within one per cent of the bound.
 
 Pieces are then matched to places in configurations by their rank within their length, a computation per row. Ranks are counted
 per (length, salt) with as many salts as the length needs, so a length that a third of the rows share is spread.
@@ -17,11 +20,13 @@ Defined results
 
 from __future__ import annotations
 
+import math
 import os
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from itertools import islice
 
 import numpy as np
@@ -129,58 +134,154 @@ def token_pieces(docs: DataFrame, path: str, limit: int = 2048, closing: int = 0
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(of, PIECES)
 
 
-def price_best(price: np.ndarray, left: np.ndarray, limit: int) -> dict[int, int]:
-    """The configuration of the highest total price that fits ``limit``, from lengths that are left."""
-    sizes = np.flatnonzero(left[: limit + 1])
-    sizes = sizes[sizes > 0]
-    best, took = np.zeros(limit + 1), np.zeros(limit + 1, np.int64)
+def price_best(price: np.ndarray, sizes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Knapsack by dynamic programming: the highest total price that fits each room, and the place in ``sizes`` (ascending) of
+    a length that a best configuration of that room takes (-1: none)."""
+    best, took = np.zeros(limit + 1), np.full(limit + 1, -1, np.int64)
+    fits = np.searchsorted(sizes, np.arange(limit + 1), "right")
     for room in range(int(sizes[0]), limit + 1):
-        fit = sizes[: np.searchsorted(sizes, room, "right")]
-        value = best[room - fit] + price[fit]
-        k = int(value.argmax())
-        best[room], took[room] = value[k], fit[k]
-    counts: dict[int, int] = {}
-    room = limit
-    while took[room]:
-        size = int(took[room])
-        if counts.get(size, 0) == left[size]:
-            break  # a length used up: what fits is filled below
-        counts[size] = counts.get(size, 0) + 1
-        room -= size
-    for size in sizes[::-1].tolist():
-        while size <= room and counts.get(size, 0) < left[size]:
-            counts[size] = counts.get(size, 0) + 1
-            room -= size
-    return counts
-
-
-def configurations(histogram: dict[int, int], limit: int, rounds: int = 100, share: float = 0.5, step: float = 0.5) -> list[tuple[dict[int, int], int]]:
-    """(lengths of one sequence with their counts, number of such sequences), covering the histogram exactly."""
-    left = np.zeros(limit + 1, np.int64)
+        k = fits[room]
+        value = best[room - sizes[:k]] + price[:k]
+        j = int(value.argmax())
+        if value[j] > 0:
+            best[room], took[room] = value[j], j
+    return best, took
+
+
+def priced_columns(price: np.ndarray, sizes: np.ndarray, limit: int, width: int) -> tuple[float, np.ndarray]:
+    """(value of the best configuration, for every length the best configuration that holds it), as places in ``sizes``,
+    filled with -1."""
+    best, took = price_best(price, sizes, limit)
+    out = np.full((len(sizes), width), -1, np.int16)
+    out[:, 0] = np.arange(len(sizes))
+    room = limit - sizes
+    for k in range(1, width):
+        j = took[room]
+        out[:, k] = j
+        room = room - np.where(j >= 0, sizes[np.maximum(j, 0)], 0)
+    return float(best[limit]), -np.sort(-out, axis=1)
+
+
+class Program:
+    """The linear program: as few sequences, as shares of configurations, as cover every length as often as it occurs.
+
+    The dual prices lengths so that no configuration is worth more than one; the value of all pieces is then a bound from below.
+    ``bound`` is the best one found, over the prices tried and the volume. ``share`` has the primal multiplicities of the pool
+    of configurations.
+    """
+
+    def __init__(self, sizes: np.ndarray, count: np.ndarray, limit: int, seed: int = 0):
+        self.sizes, self.count, self.limit, self.rng = sizes, count.astype(float), limit, np.random.default_rng(seed)
+        self.width = limit // int(sizes[0])
+        self.price, self.bound = sizes / limit, 0.0
+        # the parts of a sequence that a length is sure to take are prices as well, good for a bound
+        for k in range(1, 16):
+            steps = (k + 1) * sizes
+            price = np.where(steps % limit == 0, sizes / limit, steps // limit / k) + 1e-9
+            self.bound = max(self.bound, float(count @ price) / price_best(price, sizes, limit)[0][limit])
+        self.pull, self.worth = np.zeros(len(sizes)), 0.0
+        self.pool, self.share, self.seen = np.zeros((0, self.width), np.int16), np.zeros(0), set()
+
+    def _try(self, price: np.ndarray) -> np.ndarray:
+        value, columns = priced_columns(price, self.sizes, self.limit, self.width)
+        bound = float(self.count @ price) / value
+        self.bound = max(self.bound, bound)
+        if bound > self.worth:
+            self.worth, self.price = bound, price / value
+        return columns
+
+    def _add(self, columns: np.ndarray) -> None:
+        new = [c for c in columns if (key := c.tobytes()) not in self.seen and not self.seen.add(key)]
+        if new:
+            start = self.share.mean() if len(self.share) else self.count.sum() / len(new)
+            self.pool, self.share = np.vstack([self.pool, new]), np.append(self.share, np.full(len(new), max(start, 1e-9)))
+
+    def phase(self, noise: float = 0.01, draws: int = 4, rounds: int = 200) -> None:
+        """Price configurations into the pool, then weigh the pool multiplicatively."""
+        old = self.price
+        self._add(self._try(old))
+        # lengths that the pool covers dearly get dearer: along their multipliers, as far as the bound gains
+        top = np.abs(self.pull).max()
+        if top > 0:
+            for step in (0.003, 0.01, 0.03, 0.1, 0.3):
+                self._add(self._try(old * np.exp(step * self.pull / top)))
+        for _ in range(draws):
+            self._add(self._try(self.price * (1 + noise * self.rng.random(len(self.sizes)))))
+        at, place = np.nonzero(self.pool >= 0)
+        item, number, n = self.pool[at, place].astype(np.int64), len(self.pool), len(self.sizes)
+        own = np.bincount(at, minlength=number)
+        pull = np.zeros(n)
+        for _ in range(rounds):
+            need = np.log(self.count / np.maximum(np.bincount(item, self.share[at], n), 1e-12))
+            self.share *= np.exp(0.7 * np.bincount(at, need[item], number) / own)
+            pull += need
+            if np.abs(need).max() < 1e-3:
+                break
+        self.pull = pull - pull.mean()
+
+    def rounded(self, more: float) -> list[tuple[dict[int, int], int]]:
+        """Whole multiplicities, largest shares first, that cover no length more often than it occurs."""
+        left, out = self.count.astype(np.int64), []
+        times = np.floor(self.share + more).astype(np.int64)
+        for c in np.argsort(-self.share, kind="stable").tolist():
+            if times[c] <= 0:
+                continue
+            items, counts = np.unique(self.pool[c][self.pool[c] >= 0], return_counts=True)
+            k = min(int(times[c]), int((left[items] // counts).min()))
+            if k:
+                left[items] -= k * counts
+                out.append((dict(zip(self.sizes[items].tolist(), counts.tolist())), k))
+        return out
+
+
+@dataclass(frozen=True)
+class Packing:
+    """Configurations with their numbers, and what the linear program proves: no packing has fewer sequences than ``bound``."""
+
+    configurations: list[tuple[dict[int, int], int]]
+    bound: int
+    phases: int
+
+    @property
+    def sequences(self) -> int:
+        return sum(n for _, n in self.configurations)
+
+
+def configurations(histogram: dict[int, int], limit: int, gap: float = 0.002, patience: int = 8, gain: float = 0.03) -> Packing:
+    """A packing of the histogram. Best-fit decreasing gives the first upper bound; phases
+    end when a packing is proved to be within ``gap`` of the least possible, or when ``patience`` of them in a row have not
+    narrowed the distance between packing and bound by the share ``gain``. Both numbers are returned."""
+    counts = np.zeros(limit + 1, np.int64)
     for size, n in histogram.items():
-        left[size] = n
-    demand = np.maximum(left, 1).astype(float)
-    out: list[tuple[dict[int, int], int]] = []
-    if left[limit]:
-        out.append(({limit: 1}, int(left[limit])))
-        left[limit] = 0
-    # to begin with a length is worth the room it takes, long ones a little more, as they are harder to place
-    price = (np.arange(limit + 1) / limit) ** 1.02
-    for _ in range(rounds):
-        if not left.any():
-            break
-        config = price_best(price, left, limit)
-        most = min(int(left[s]) // c for s, c in config.items())
-        times = max(1, int(most * share))
-        for s, c in config.items():
-            left[s] -= c * times
-            price[s] *= np.exp(-step * c * times / demand[s] * 0.05)
-        out.append((config, times))
-    return out + best_fit(left, limit)
-
-
-def best_fit(left: np.ndarray, limit: int) -> list[tuple[dict[int, int], int]]:
-    """Best-fit decreasing on counts: equal open sequences move together."""
+        counts[size] = n
+    bound = -(-int(counts @ np.arange(limit + 1)) // limit)
+    best = Packing(best_fit(counts, limit), bound, 0)
+    # short pieces fill what the others leave; configurations have fewer than 16 lengths
+    sizes = np.flatnonzero(counts)
+    sizes = sizes[sizes > limit // 16]
+    if not len(sizes):
+        return best
+    program, phases, idle = Program(sizes, counts[sizes], limit), 0, 0
+    while not phases or (best.sequences > bound * (1 + gap) and idle < patience):
+        program.phase()
+        phases += 1
+        before = best.sequences - bound
+        bound = max(bound, math.ceil(program.bound - 1e-6))
+        for more in (0.0, 0.5, 0.999):
+            whole = program.rounded(more)
+            left = counts.copy()
+            for config, times in whole:
+                for size, c in config.items():
+                    left[size] -= c * times
+            found = Packing(best_fit(left, limit, whole), bound, phases)
+            if found.sequences < best.sequences:
+                best = found
+        idle = 0 if before - (best.sequences - bound) > gain * before else idle + 1
+    return Packing(best.configurations, bound, phases)
+
+
+def best_fit(left: np.ndarray, limit: int, opened: Iterable[tuple[dict[int, int], int]] = ()) -> list[tuple[dict[int, int], int]]:
+    """Best-fit decreasing on counts, into the rooms of ``opened`` sequences first: equal open sequences move together."""
     open_: dict[int, list[tuple[dict[int, int], int]]] = {}
     rooms = np.zeros(limit + 1, np.int64)
 
@@ -188,6 +289,8 @@ def best_fit(left: np.ndarray, limit: int) -> list[tuple[dict[int, int], int]]:
         open_.setdefault(room, []).append((config, n))
         rooms[room] += n
 
+    for config, n in opened:
+        put(limit - sum(s * c for s, c in config.items()), config, n)
     for size in range(limit, 0, -1):
         n = int(left[size])
         while n:
@@ -228,7 +331,7 @@ def pack(pieces: DataFrame, limit: int = 2048) -> DataFrame:
     counts = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()  # at most one row per length
     histogram = {int(r["length"]): int(r["n"]) for r in counts}
     rows, base, used = [], 0, np.zeros(limit + 1, np.int64)
-    for config, times in configurations(histogram, limit):
+    for config, times in configurations(histogram, limit).configurations:
         offset = 0
         for size, c in sorted(config.items(), reverse=True):
             rows.append((size, int(used[size]), c, base, offset))

@@ -187,8 +187,14 @@ def test_language(spark, odd, none):
     # a text that a third of the rows repeat teaches once
     few = [(f"das ist der {w} und die {w} ist nicht da", "de") for w in ("Baum", "Weg", "Wald")] + [(f"the {w} is here and it was not there", "en") for w in ("tree", "way", "wood")]
     copies = spark.createDataFrame(few + [("one and the same", "en")] * 6000, "text string, lang string").withColumn("doc_id", F.lit(1))
-    said = {r["lang_pred"] for r in language.predict(copies.filter("lang = 'de'"), language.fit(copies)).collect()}
-    assert said == {"de"}
+    for seed in (3, 8):
+        model = language.fit(copies, seed=seed)
+        assert model.languages == ["de", "en"]
+        said = {(r["doc_id"], r["lang_pred"]) for r in language.predict(copies.withColumn("doc_id", (F.col("lang") == "de").cast("int")).filter("text <> 'one and the same'"), model).collect()}
+        assert said == {(1, "de"), (0, "en")}
+    # a language of one text, however often it stands, is learned at any seed
+    one = spark.createDataFrame([("der die das ist nicht da und wo", "de")] * 3000 + [(f"the {i} is here and it was not there", "en") for i in range(50)], "text string, lang string")
+    assert all(language.fit(one, seed=seed).languages == ["de", "en"] for seed in range(1, 11))
 
 
 def test_sharding(spark, odd, none):
@@ -262,10 +268,26 @@ def test_simhash(spark, odd, none):
     assert {r["doc_id"]: r["component_id"] for r in rows} == components(marks)
     kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns
-    assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 3, 5, 6, 7]  # 2 is near 1, 4 is near 3; the null id stays
+    assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [1, 3, 5, 6, 7]  # 2 is near 1, 4 and the row without an identifier are near 3
     assert simhash.near_groups(none).count() == 0
 
 
+def test_one_of_each_group_stays_by_row(spark):
+    same, other = "a b c d e f g h", "quite another text that is like nothing else here at all"
+    rows = [(1, same), (2, same), (2, other), (None, other + " whatsoever in it"), (None, "nobody knows this one or its like"), (None, same), (3, None), (3, "")]
+    kept = simhash.keep_one(stored(spark.createDataFrame(rows, "doc_id long, text string"), "rows"))
+    fps = components({i: plain_fingerprint(t or "") for i, (_, t) in enumerate(rows)})
+    groups = defaultdict(list)
+    for i, (doc, text) in enumerate(rows):
+        groups[fps[i]].append((doc is None, doc or 0, plain_fingerprint(text or ""), text or ""))
+    got = Counter((r["doc_id"], r["text"] or "") for r in kept.collect())
+    want = Counter()
+    for group in groups.values():
+        first = min(group)
+        want[None if first[0] else first[1], first[3]] += sum(g[:2] == first[:2] and g[3] == first[3] for g in group)
+    assert got == want and (2, other) in got and (None, "nobody knows this one or its like") in got
+
+
 def test_vantage_trees_lose_no_link(spark, monkeypatch):
     rng = np.random.default_rng(4)
     seeds = rng.integers(0, 2**63, 300, dtype=np.uint64)
@@ -407,16 +429,62 @@ def test_unit_cache_is_bounded():
     assert [cache.table(long)[u] for u in long] == [u.upper() for u in long]
 
 
-def test_configurations_cover_the_histogram():
-    rng = np.random.default_rng(1)
-    histogram = Counter(rng.integers(1, 101, 5000).tolist())
-    found, n = Counter(), 0
-    for config, times in packing.configurations(histogram, 100):
-        assert sum(s * c for s, c in config.items()) <= 100
-        n += times
+def least_sequences(pieces, limit):
+    """The exact optimum of a few pieces, by trying all places."""
+    pieces, best = sorted(pieces, reverse=True), [len(pieces)]
+
+    def place(i, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if i == len(pieces):
+            best[0] = len(rooms)
+            return
+        for k in sorted({r for r in rooms if r >= pieces[i]}):
+            rest = list(rooms)
+            rest.remove(k)
+            place(i + 1, [*rest, k - pieces[i]])
+        place(i + 1, [*rooms, limit - pieces[i]])
+    place(0, [])
+    return best[0]
+
+
+def plain_best_fit(histogram, limit):
+    left = np.zeros(limit + 1, np.int64)
+    for size, n in histogram.items():
+        left[size] = n
+    return sum(n for _, n in packing.best_fit(left, limit))
+
+
+def check_configurations(histogram, limit):
+    found, packed = Counter(), packing.configurations(histogram, limit)
+    for config, times in packed.configurations:
+        assert sum(s * c for s, c in config.items()) <= limit
         for s, c in config.items():
             found[s] += c * times
-    assert found == histogram and n <= 1.01 * sum(s * c for s, c in histogram.items()) / 100 + 1
+    assert found == histogram and packed.bound <= packed.sequences <= plain_best_fit(histogram, limit)
+    return packed
+
+
+def test_configurations_cover_the_histogram():
+    rng = np.random.default_rng(1)
+    packed = check_configurations(Counter(rng.integers(1, 101, 5000).tolist()), 100)
+    assert packed.sequences <= 1.005 * packed.bound + 1
+    assert check_configurations(Counter({1: 5}), 100).sequences == 1 and packing.configurations({}, 100).configurations == []
+    assert check_configurations(Counter({100: 7}), 100).sequences == 7
+    for _ in range(15):
+        pieces = rng.integers(10, 60, 9).tolist()
+        few = check_configurations(Counter(pieces), 100)
+        assert few.bound <= least_sequences(pieces, 100) <= few.sequences <= least_sequences(pieces, 100) + 1
+
+
+def test_configurations_of_lengths_that_best_fit_packs_badly():
+    rng = np.random.default_rng(2)
+    histogram = Counter(rng.integers(400, 901, 100_000).tolist())
+    packed = check_configurations(histogram, 2048)
+    assert packed.sequences <= 1.005 * packed.bound and plain_best_fit(histogram, 2048) > 1.05 * packed.bound
+    # lengths of three configurations: 1000 + 1000, 700 + 700, 340 * 6 and mixtures of them
+    few = check_configurations(Counter({700: 1000, 1000: 800, 340: 1500, 1030: 300}), 2048)
+    assert few.sequences <= 1.01 * few.bound
 
 
 def test_pipeline(spark):
@@ -437,3 +505,22 @@ def test_pipeline(spark):
         if name != "pack_sequences":
             assert docs.columns == before.columns
     check_packing([r.asDict() for r in docs.collect()], 2048)
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Empty tables, repeated and missing identifiers."""
+    docs = documents(spark)
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    labels.write.parquet(f"{tmp_path}/none/labels.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
+    labels.write.parquet(f"{tmp_path}/odd/labels.parquet")
+    odd = docs.withColumn("doc_id", F.when(F.col("doc_id") % 5 == 0, 7).when(F.col("doc_id") % 5 == 1, F.lit(None)).otherwise(F.col("doc_id")))
+    odd.union(docs.limit(9)).write.parquet(f"{tmp_path}/odd/documents.parquet")
+    now = spark.read.parquet(f"{tmp_path}/odd/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        before, now = now, stored(stage(spark, now, f"{tmp_path}/odd"), name)
+        if name == "simhash_dedup":
+            marks = dict(enumerate(plain_fingerprint(r["text"]) for r in before.collect()))
+            assert now.count() == len(set(components(marks).values()))
+    assert corpus_pipeline.run(spark, f"{tmp_path}/odd").count() > 0
