@@ -30,7 +30,6 @@ from dataclasses import dataclass
 from itertools import islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,7 +58,7 @@ class ByteEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache = UnitCache(self._encode)
+        self.cache = UnitCache(self._encode, limit=200_000, chars=4_000_000)
         pieces = self.tokenizer.get_vocab()
         #: whether a token begins with a blank or a line feed, as the byte alphabet spells them
         self.begins = np.zeros(max(pieces.values(), default=0) + 1, bool)
@@ -131,6 +130,7 @@ def token_pieces(docs: DataFrame, path: str, limit: int = 2048, closing: int = 0
                         own = ids[4 * start:4 * (start + n)]
                         rows.append((doc, k, start, n, zlib.crc32(own), own if keep_ids else None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+        encode.cache.rest()
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(of, PIECES)
 
 
@@ -343,15 +343,15 @@ def pack(pieces: DataFrame, limit: int = 2048) -> DataFrame:
     # lengths and first ranks in one ordered key
     key = table[0] << 48 | table[1]
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            size, rank = b["length"].to_numpy(), b["rank"].to_numpy()
+            size, rank = b.column("length").to_numpy(), b.column("rank").to_numpy()
             k = np.searchsorted(key, size << 48 | rank, "right") - 1
             j, c = rank - table[1][k], table[2][k]
-            yield b.drop(columns="rank").assign(sequence_id=table[3][k] + j // c, offset=table[4][k] + j % c * size)
+            yield b.drop_columns(["rank"]).append_column("sequence_id", pa.array(table[3][k] + j // c)).append_column("offset", pa.array(table[4][k] + j % c * size))
     have = ranked(pieces, histogram, limit)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in have.schema if f.name != "rank")
-    return have.mapInPandas(place, f"{schema}, sequence_id long, offset long")
+    return have.mapInArrow(place, f"{schema}, sequence_id long, offset long")
 
 
 def sequences(packed: DataFrame) -> DataFrame:
