@@ -75,17 +75,23 @@ def normalized_mutual_info(spark, sf):
 
 @query("seed_stability")
 def seed_stability(spark, sf):
-    rows = embedded(spark, sf).persist()
+    rows = embedded(spark, sf)
     fit = flows.fitter("kmeans", "features")
     return rounded(g.seed_stability(fit(rows, 5, 42, "cluster"), "cluster", 5, fit), "stability_ari")
 
 
 @query("bootstrap_stability")
 def bootstrap_stability(spark, sf):
-    rows = embedded(spark, sf).persist()
     fit = flows.fitter("kmeans", "features")
-    parts = g.subsamples(fit(rows, 5, 2026, "cluster"), "id")
-    return rounded(g.bootstrap_stability(parts, "cluster", 5, fit), "stability_ari")
+    rows = fit(embedded(spark, sf), 5, 2026, "cluster")
+    return rounded(g.masked_stability(rows, {"cluster": 5}, fit, g.subsample_mask(rows, "id")).select("stability_ari"), "stability_ari")
+
+
+@query("subsample_sizes", f"""WITH {x.VECTORS_CTE} SELECT CAST(rep AS INT) AS rep, CAST(floor(0.8 * n) AS BIGINT) AS n FROM (SELECT COUNT(*) AS n FROM vectors), range(8) r(rep)""")
+def subsample_sizes(spark, sf):
+    rows = x.vectors(spark, sf)
+    bits = rows.select(g.subsample_mask(rows, "id").alias("m")).select("m", F.explode(F.array(*map(F.lit, range(8)))).alias("rep"))
+    return bits.filter(F.expr("shiftright(m, rep) & 1 = 1")).groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
 
 
 def eta_sql(value: str, label: str, source: str) -> str:
@@ -138,7 +144,7 @@ def cluster_size_balance(spark, sf):
 def evaluation_grid(spark, sf):
     rows = as_vector(x.vectors(spark, sf), "embedding", "full")
     both = e.pca_embed(rows, 4, "full", "pca4").select("id", "outcome", "label", "full", "pca4")
-    return flows.evaluation_grid(both, "id", ["pca4"], "outcome", ["outcome", "label"], ks=(3, 4), n_init=1, reps=2, level="label")
+    return flows.evaluation_grid(both, "id", ["pca4"], "outcome", ["outcome", "label"], level="label")
 
 
 _METRICS = ("silhouette", "stability_ari", "external_separation")

@@ -164,13 +164,24 @@ def pca_embed(spark, sf):
 
 @query("kmeans_labels")
 def kmeans_labels(spark, sf):
-    return e.kmeans_labels(embedded(spark, sf).persist(), 6).select("id", "cluster")
+    return e.kmeans_labels(embedded(spark, sf), 6).select("id", "cluster")
+
+
+@query("kmeans_nearest", f"WITH {x.VECTORS_CTE} SELECT id, CAST(6 AS BIGINT) AS clusters, TRUE AS nearest FROM vectors")
+def kmeans_nearest(spark, sf):
+    """Whether the mean of a row's own cluster is its nearest one, up to the movement at which the fit stops."""
+    rows = embedded(spark, sf).select("id", vector_to_array("features").alias("v"), "features")
+    labelled = e.kmeans_labels(rows, 6).select("id", "v", "cluster")
+    means = labelled.select("cluster", F.posexplode("v").alias("at", "x")).groupBy("cluster", "at").agg(F.avg("x").alias("m"))
+    long = labelled.select("id", "cluster", F.posexplode("v").alias("at", "x")).join(means.select("at", F.col("cluster").alias("other"), "m"), "at")
+    d = long.groupBy("id", "cluster", "other").agg(F.sqrt(F.sum(F.pow(F.col("x") - F.col("m"), 2))).alias("d"))
+    own = F.max(F.when(F.col("cluster") == F.col("other"), F.col("d")))
+    return d.groupBy("id").agg(F.count(F.lit(1)).alias("clusters"), (own <= F.min("d") + 0.001).alias("nearest"))
 
 
 @query("gmm_labels")
 def gmm_labels(spark, sf):
-    low = e.pca_embed(embedded(spark, sf), 4, out="low").select("id", "low").persist()
-    return e.gmm_labels(low, 4, features="low").select("id", "cluster")
+    return e.gmm_labels(embedded(spark, sf), 4).select("id", "cluster")
 
 
 @query("reorder_labels", f"""WITH {x.VECTORS_CTE}, means AS (SELECT label2, ROW_NUMBER() OVER (ORDER BY AVG(outcome), label2) - 1 AS r FROM vectors GROUP BY label2)

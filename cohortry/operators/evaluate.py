@@ -189,9 +189,11 @@ def mean_agreement(df: DataFrame, base: str, others: Sequence[str]) -> DataFrame
 
 def seed_stability(df: DataFrame, base: str, k: int, fit: Callable[[DataFrame, int, int, str], DataFrame],
                    seeds: Sequence[int] = (0, 1, 2, 3, 4)) -> DataFrame:
-    """Mean ARI of the base labels with refits under other seeds. ``fit(df, k, seed, out)`` adds labels."""
+    """Mean ARI of the base labels with refits under other seeds. ``fit(df, k, seed, out)`` adds labels; a fit that has
+    ``many(df, [(k, seed, out, bit)], mask)`` adds all of them in common passes."""
     runs = [f"__run{s}" for s in seeds]
-    labelled = reduce(lambda d, s: fit(d, k, s, f"__run{s}"), seeds, df)
+    many = getattr(fit, "many", None)
+    labelled = many(df, [(k, s, r, 0) for s, r in zip(seeds, runs)]) if many else reduce(lambda d, s: fit(d, k, s, f"__run{s}"), seeds, df)
     return mean_agreement(labelled, base, runs)
 
 
@@ -217,6 +219,26 @@ def bootstrap_stability(parts: Sequence[DataFrame], base: str, k: int,
     return adjusted_rand(reduce(DataFrame.unionByName, runs), "a", "b", ["rep"]).agg(F.avg("ari").alias("stability_ari"))
 
 
+def subsample_mask(df: DataFrame, id_col: str, reps: int = 8, share: float = 0.8, seed: int = 2026) -> Column:
+    """A bit per subsample of :func:`subsamples`, set where the row is in it."""
+    if reps > 63:
+        raise ValueError("a mask has 63 bits; ask for more subsamples in several calls")
+    take = {None: int(df.count() * share)}
+    bits = [lowest_k(df, stable_key(col(id_col), seed, rep), col(id_col), take).cast("long") * (1 << rep) for rep in range(reps)]
+    return reduce(lambda a, b: a + b, bits)
+
+
+def masked_stability(df: DataFrame, labelings: Mapping[str, int], fit, mask: Column, reps: int = 8, seed: int = 2026) -> DataFrame:
+    """(labeling, stability_ari): mean ARI between base labels and labels refitted on each subsample of ``mask``, compared on the
+    subsample. ``labelings`` maps columns of base labels to their numbers of clusters; all refits are made by one ``fit.many``."""
+    runs = [(k, seed + 1 + rep, f"__refit{i}_{rep}", rep) for i, k in enumerate(labelings.values()) for rep in range(reps)]
+    labelled = fit.many(df.withColumn("__mask", mask), runs, "__mask")
+    cells = [F.struct(F.lit(name).alias("labeling"), F.lit(rep).alias("rep"), col(name).cast("int").alias("a"), F.col(f"__refit{i}_{rep}").alias("b"))
+             for i, name in enumerate(labelings) for rep in range(reps)]
+    long = labelled.select("__mask", F.inline(F.array(*cells))).filter(F.expr("shiftright(__mask, rep) & 1 = 1"))
+    return adjusted_rand(long, "a", "b", ["labeling", "rep"]).groupBy("labeling").agg(F.avg("ari").alias("stability_ari"))
+
+
 # --- separation of values -----------------------------------------------------------
 
 def _cells(values: Mapping[str, Column]) -> list[Column]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml.functions import vector_to_array
@@ -12,7 +13,7 @@ from pyspark.storagelevel import StorageLevel
 
 from ..functions.columns import col
 from ..functions.sizes import broadcast_if_small
-from ..operators import clean, embed, evaluate, features, predict, profile, score
+from ..operators import clean, embed, evaluate, features, many_starts, predict, profile, score
 
 
 def impairment_profile(df: DataFrame, numeric: Sequence[str], rules: Sequence[score.Rule], label: str,
@@ -27,13 +28,28 @@ def impairment_profile(df: DataFrame, numeric: Sequence[str], rules: Sequence[sc
 
 # --- candidate clusterings ----------------------------------------------------------
 
-def fitter(clusterer: str, vec: str, n_init: int | None = None):
-    """``fit(df, k, seed, out)`` for the stability operators."""
-    def fit(df: DataFrame, k: int, seed: int, out: str) -> DataFrame:
-        if clusterer == "kmeans":
-            return embed.kmeans_labels(df, k, seed, n_init or 20, vec, out)
-        return embed.gmm_labels(df, k, seed, n_init or 5, vec, out)
-    return fit
+@dataclass(frozen=True)
+class Fitter:
+    """``fit(df, k, seed, out)`` adds labels; ``many`` adds those of several runs, each on the rows with its bit of ``mask``."""
+
+    clusterer: str
+    vec: str
+    n_init: int
+
+    def __call__(self, df: DataFrame, k: int, seed: int, out: str) -> DataFrame:
+        if self.clusterer == "kmeans":
+            return embed.kmeans_labels(df, k, seed, self.n_init, self.vec, out)
+        return embed.gmm_labels(df, k, seed, self.n_init, self.vec, out)
+
+    def many(self, df: DataFrame, runs: Sequence[tuple[int, int, str, int]], mask: str | None = None) -> DataFrame:
+        asked = [many_starts.Run(k, seed, self.n_init, bit) for k, seed, _, bit in runs]
+        fits = many_starts.fitted(df, asked, self.vec, self.clusterer != "kmeans", None if mask is None else col(mask))
+        return many_starts.with_labels(df, self.vec, fits, [out for _, _, out, _ in runs])
+
+
+def fitter(clusterer: str, vec: str, n_init: int | None = None) -> Fitter:
+    """The fit of a clusterer for the stability operators: 20 starts of k-means, 5 of a mixture, unless given."""
+    return Fitter(clusterer, vec, n_init or (20 if clusterer == "kmeans" else 5))
 
 
 def evaluation_grid(df: DataFrame, id_col: str, methods: Sequence[str], outcome: str, external: Sequence[str],
@@ -45,8 +61,8 @@ def evaluation_grid(df: DataFrame, id_col: str, methods: Sequence[str], outcome:
     Besides the inner metrics: how far the clusters explain the outcome (eta squared), the rank correlation of the outcome
     with the clusters in the order of their mean outcome, and the mutual information with the column ``level``, if given.
 
-    Fits run one after the other on a persisted frame, but each metric is computed for all
-    candidates of a method at once, and only the metric rows reach the driver.
+    All candidates of a clusterer are fitted in common passes, and so are their refits on the subsamples; each metric is
+    computed for all candidates of a method at once, and only the metric rows reach the driver.
     """
     base = df.persist(StorageLevel.MEMORY_AND_DISK)
     rows: list[tuple] = []
@@ -54,8 +70,8 @@ def evaluation_grid(df: DataFrame, id_col: str, methods: Sequence[str], outcome:
         candidates = [(c, k) for c in clusterers for k in ks]
         names = [f"{c}:{k}" for c, k in candidates]
         labelled = base
-        for (c, k), name in zip(candidates, names):
-            labelled = fitter(c, method, n_init)(labelled, k, seed, name)
+        for c in clusterers:
+            labelled = fitter(c, method, n_init).many(labelled, [(k, seed, f"{c}:{k}", 0) for k in ks])
         labelled = labelled.withColumn("__v", vector_to_array(col(method))).persist(StorageLevel.MEMORY_AND_DISK)
         carried = dict.fromkeys([*external, outcome, *([level] if level else [])])
         long = labelled.select(col(id_col), "__v", *[col(c) for c in carried], F.inline(F.array(*[
@@ -81,14 +97,19 @@ def evaluation_grid(df: DataFrame, id_col: str, methods: Sequence[str], outcome:
         for t in tables:
             for r in t.collect():  # one row per candidate
                 found[r["labeling"]].update(r.asDict())
-        parts = evaluate.subsamples(labelled, id_col, reps, seed=seed) if stability == "bootstrap" else []
-        for (c, k), name in zip(candidates, names):
+        mask = evaluate.subsample_mask(labelled, id_col, reps, seed=seed) if stability == "bootstrap" else None
+        for c in clusterers:
             fit = fitter(c, method, n_init)
-            agree = evaluate.bootstrap_stability(parts, name, k, fit, seed) if parts \
-                else evaluate.seed_stability(labelled, name, k, fit, range(reps))
+            if mask is not None:
+                for r in evaluate.masked_stability(labelled, {f"{c}:{k}": k for k in ks}, fit, mask, reps, seed).collect():
+                    found[r["labeling"]]["stability_ari"] = r["stability_ari"]
+            else:
+                for k in ks:
+                    found[f"{c}:{k}"]["stability_ari"] = evaluate.seed_stability(labelled, f"{c}:{k}", k, fit, range(reps)).first()["stability_ari"]
+        for (c, k), name in zip(candidates, names):
             m = found[name]
             rows.append((method, c, k, m["silhouette"], m["calinski_harabasz"], m["davies_bouldin"],
-                         agree.first()["stability_ari"], m["min_cluster_ratio"], m["max_cluster_ratio"], m.get("external_separation") or 0.0,
+                         m["stability_ari"], m["min_cluster_ratio"], m["max_cluster_ratio"], m.get("external_separation") or 0.0,
                          m.get("outcome_eta2"), m.get("outcome_spearman"), m.get("level_nmi")))
         labelled.unpersist()
     base.unpersist()
