@@ -143,12 +143,26 @@ def tfidf_terms(spark, sf):
     return rounded(f.tfidf_terms(x.table(spark, sf, "documents"), "doc_id", "text", 5, 4096), "idf", "weight")
 
 
+def _text_scores(spark, sf):
+    vectors = f.tfidf_vectors(x.table(spark, sf, "documents"), "doc_id", "text", min_df=5, max_features=4096).persist()
+    return e.svd_embed(vectors, 128, out="embedding").select("id", vector_to_array("embedding").alias("v"))
+
+
 @query("tfidf_embed")
 def tfidf_embed(spark, sf):
-    docs = x.table(spark, sf, "documents")
-    vectors = f.tfidf_vectors(docs, "doc_id", "text", min_df=5, max_features=256).persist()
-    out = e.pca_embed(vectors, 16, out="embedding").select("id", vector_to_array("embedding").alias("v"))
-    return out.select("id", F.size("v").alias("dims"), F.round(norm(F.col("v")), 4).alias("length"))
+    return _text_scores(spark, sf).select("id", F.size("v").alias("dims"), F.round(norm(F.col("v")), 4).alias("length"))
+
+
+@query("tfidf_axes", """SELECT CAST(a AS INT) AS a, CAST(b AS INT) AS b, CAST(0 AS DOUBLE) AS product, (SELECT COUNT(*) FROM documents) AS n
+FROM range(12) p(a), range(12) q(b) WHERE a < b""")
+def tfidf_axes(spark, sf):
+    """The scores on different axes are uncorrelated about zero: their products vanish beside the lengths of both."""
+    v = _text_scores(spark, sf)
+    pairs = [(a, b) for a in range(12) for b in range(a + 1, 12)]
+    at = lambda i: F.col("v")[i]
+    sums = v.agg(F.count(F.lit(1)).alias("n"), *[(F.sum(at(a) * at(b)) / F.sqrt(F.sum(at(a) * at(a)) * F.sum(at(b) * at(b)))).alias(f"p{a}_{b}") for a, b in pairs])
+    cells = F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), (F.round(F.abs(f"p{a}_{b}"), 6) + 0.0).alias("product")) for a, b in pairs]))
+    return sums.select("n", cells)
 
 
 def embedded(spark, sf):

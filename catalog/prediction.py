@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.functions.vectors import as_vector
+from cohortry.operators import boosting
 from cohortry.operators import evaluate as g
 from cohortry.operators import features as f
 from cohortry.operators import predict as p
@@ -68,30 +70,62 @@ def multiclass_metrics(spark, sf):
 def train_classifiers(spark, sf):
     rows = as_vector(x.vectors(spark, sf), "embedding").select("id", "features", (F.col("label") >= 5).cast("double").alias("label"))
     ready = p.stratified_split(rows, "id", "label").persist()
-    models = p.train_classifiers(ready.filter("is_test = 0"), trees=20, rounds=10)
+    models = p.train_classifiers(ready.filter("is_test = 0"), rounds=40)
     parts = [m.transform(ready.filter("is_test = 1")).select("id", "label", "prediction", F.lit(n).alias("model")) for n, m in models.items()]
     return reduce(DataFrame.unionByName, parts)
 
 
+def _three_classes(spark, sf):
+    return as_vector(x.vectors(spark, sf), "embedding").select("id", "features", (F.col("label") % 3).cast("double").alias("label"))
+
+
+@query("softmax_boosting", f"WITH {x.VECTORS_CTE} SELECT id, CAST(3 AS INT) AS classes, CAST(1 AS DOUBLE) AS total FROM vectors")
+def softmax_boosting(spark, sf):
+    """Three classes, 300 rounds: every row has a share per class, and the shares make one."""
+    rows = _three_classes(spark, sf)
+    p_ = vector_to_array("probability")
+    return boosting.boost(rows, "label").transform(rows).select(
+        "id", F.size(p_).alias("classes"), F.round(F.aggregate(p_, F.lit(0.0), lambda a, v: a + v), 9).alias("total"))
+
+
+@query("shapley_sums", f"WITH {x.VECTORS_CTE} SELECT id, CAST(0 AS DOUBLE) AS rest FROM vectors")
+def shapley_sums(spark, sf):
+    """The Shapley values of a row sum to the logarithm of its odds less what the model says where nothing is known."""
+    rows = _three_classes(spark, sf).withColumn("label", (F.col("label") == 0).cast("double"))
+    model = boosting.boost(rows, "label", rounds=30)
+    values = boosting.contributions(rows, model)[0]
+    share = vector_to_array("probability")[1]
+    odds = F.log(share / (1 - share)) - float(boosting.expectation(model)[0])
+    return model.transform(rows.withColumn("values", values)).select(
+        "id", (F.round(F.abs(F.aggregate("values", F.lit(0.0), lambda a, v: a + v) - odds), 6) + 0.0).alias("rest"))
+
+
+@query("tree_attribution")
+def tree_attribution(spark, sf):
+    rows = _three_classes(spark, sf)
+    names = [f"dim{i:02d}" for i in range(64)]
+    return rounded(boosting.tree_attribution(rows, boosting.boost(rows, "label", rounds=30), names), "mean_abs")
+
+
 @query("predict_clusters")
 def predict_clusters(spark, sf):
     df = x.clean(spark, sf).drop("first_date")
     zone = F.regexp_extract("nation", r"(\d+)", 1).cast("int") % 3
-    return flows.predict_clusters(df.withColumn("cluster", zone), "id", "cluster", ["region"], trees=10, rounds=3,
+    return flows.predict_clusters(df.withColumn("cluster", zone), "id", "cluster", ["region"], rounds=10,
                                   design_options={"numeric_keywords": _KEYWORDS})
 
 
 @query("predict_low_outcome")
 def predict_low_outcome(spark, sf):
     df = x.clean(spark, sf).drop("first_date")
-    return flows.predict_low_outcome(df, "id", "spend_cents", ["avg_cents"], trees=20, rounds=5,
+    return flows.predict_low_outcome(df, "id", "spend_cents", ["avg_cents"], rounds=10,
                                      design_options={"numeric_keywords": _KEYWORDS})
 
 
 @query("predict_low_outcome_strict")
 def predict_low_outcome_strict(spark, sf):
     df = x.clean(spark, sf).drop("first_date")
-    return flows.predict_low_outcome(df, "id", "spend_cents", ["cents", "price", "orders", "urgent", "finished"], trees=20, rounds=5,
+    return flows.predict_low_outcome(df, "id", "spend_cents", ["cents", "price", "orders", "urgent", "finished"], rounds=10,
                                      design_options={"numeric_keywords": _KEYWORDS})
 
 
@@ -108,7 +142,7 @@ def _level_model(spark, sf, models):
     df = x.clean(spark, sf).drop("first_date").withColumn("rich", (F.col("spend_cents") > 300_000_000).cast("int"))
     matrix, design = f.design_matrix(df, "id", keep=["rich"], numeric_keywords=_KEYWORDS)
     ready = matrix.withColumn("label", F.col("rich").cast("double")).persist()
-    return ready, design, p.train_classifiers(ready, trees=20, models=models)
+    return ready, design, p.train_classifiers(ready, models=models)
 
 
 @query("model_attribution")

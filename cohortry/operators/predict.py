@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import numpy as np
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import col, is_true, safe_numeric
 from ..functions.ranks import exact_quantiles, lowest_k, stable_key, tally, with_ranks
 from ..functions.sizes import one_row
+from . import boosting
 
 
 def quantile_label(df: DataFrame, column: str, out: str, share: float = 0.25, drop_missing: bool = False) -> DataFrame:
@@ -54,21 +55,19 @@ def train_classifiers(train: DataFrame, label: str = "label", features: str = "f
                       trees: int = 300, rounds: int = 300, depth: int = 4, rate: float = 0.05,
                       row_share: float = 0.8, column_share: float = 0.8, forest_depth: int = 30, penalty: float = 1.0,
                       seed: int = 42, models: Sequence[str] = ("LR", "RF", "GBT")) -> dict:
-    """Fitted models by name. Boosting of several classes is one-vs-rest, since Spark boosts two.
+    """Fitted models by name: logistic regression, a forest, and boosted trees with a softmax over the classes.
 
     ``penalty`` weighs half the squared coefficients against the sum of the losses of all rows. Forests grow as deep as Spark
-    allows; boosting draws its columns per node.
+    allows; boosting draws its rows per round and its columns per tree.
     """
     common = dict(featuresCol=features, labelCol=label)
-    boosted = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=row_share,
-                            featureSubsetStrategy=str(column_share), seed=seed, **common)
     makers = {
         # Spark takes the mean of the losses
         "LR": lambda: LogisticRegression(maxIter=2000, regParam=penalty / max(1, train.count()), standardization=False, **common),
         "RF": lambda: RandomForestClassifier(numTrees=trees, maxDepth=forest_depth, seed=seed, **common),
-        "GBT": lambda: OneVsRest(classifier=boosted, **common) if multiclass else boosted,
     }
-    return {m: makers[m]().fit(train) for m in models}
+    return {m: boosting.boost(train, label, features, rounds, depth, rate, row_share, column_share, seed=seed) if m == "GBT" else makers[m]().fit(train)
+            for m in models}
 
 
 def auc_by_ranks(df: DataFrame, positive: str, score: str, by: Sequence[str] = (), **rank_options) -> DataFrame:
