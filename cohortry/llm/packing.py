@@ -58,7 +58,7 @@ class ByteEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache = UnitCache(self._encode, limit=200_000, chars=4_000_000)
+        self.cache = UnitCache(self._encode, limit=300_000, chars=8_000_000)
         pieces = self.tokenizer.get_vocab()
         #: whether a token begins with a blank or a line feed, as the byte alphabet spells them
         self.begins = np.zeros(max(pieces.values(), default=0) + 1, bool)
@@ -130,7 +130,6 @@ def token_pieces(docs: DataFrame, path: str, limit: int = 2048, closing: int = 0
                         own = ids[4 * start:4 * (start + n)]
                         rows.append((doc, k, start, n, zlib.crc32(own), own if keep_ids else None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-        encode.cache.rest()
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(of, PIECES)
 
 

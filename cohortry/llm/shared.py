@@ -61,10 +61,6 @@ class UnitCache:
     def __init__(self, encode: Callable[[list[str]], Iterable], limit: int = 400_000, chars: int = 16_000_000):
         self.encode, self.limit, self.chars, self.young, self.old, self.held = encode, limit, chars, {}, {}, 0
 
-    def rest(self) -> None:
-        """Let the older generation go: an idle worker keeps at most one."""
-        self.old = {}
-
     def table(self, units: list[str]) -> dict:
         """A dictionary that holds every one of ``units``."""
         new = set(units).difference(self.young)
