@@ -107,7 +107,8 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", seed:
         return None
     each = min(PER_LANGUAGE, max(1, SAMPLE_ROWS // known))
     lowest = distinct.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("hash"))).filter(F.col("place") <= each).drop("place")
-    drawn = hashed.join(lowest, ["lang", "hash"], "left_semi").dropDuplicates(["lang", "hash"]).select("lang", "text", "hash")
+    # at most ``each`` rows of every language that the model will hold: small enough for every task
+    drawn = hashed.join(F.broadcast(lowest), ["lang", "hash"], "left_semi").dropDuplicates(["lang", "hash"]).select("lang", "text", "hash")
 
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
