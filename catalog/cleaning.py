@@ -116,6 +116,20 @@ def codebook_extract(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+# names that end one another and a mark that closes many words, in whole document texts
+_FIELDS = ("the", "he", "e", "of", "thanea", "anea", "der", "er", "que", "in")
+
+
+@query("field_blocks", f"""WITH fields AS (SELECT UNNEST([{', '.join(f"'{n}'" for n in _FIELDS)}]) AS field),
+first AS (SELECT doc_id AS id, field, text, instr(text, field || '.') + LENGTH(field) + 1 AS start FROM documents, fields WHERE contains(text, field || '.')),
+stops AS (SELECT a.id, a.field, MIN(NULLIF(instr(substr(a.text, a.start), b.field || '.'), 0)) AS stop
+  FROM first a JOIN fields b ON a.field <> b.field GROUP BY a.id, a.field)
+SELECT id, field, CASE WHEN stop IS NULL THEN substr(text, start) ELSE substr(text, start, stop - 1) END AS block
+FROM first JOIN stops USING (id, field)""")
+def field_blocks(spark, sf):
+    return c.field_blocks(x.table(spark, sf, "documents"), "doc_id", "text", _FIELDS, ".")
+
+
 @query("codebook_apply", f"""WITH {x.COHORT_CTE},
 book AS (SELECT CAST(r_regionkey AS STRING) AS code, r_name AS label FROM region)
 SELECT id, COALESCE(b.label, a.code_raw) AS code_raw, COALESCE(d.label, CAST(a.id % 7 AS STRING)) AS week_code

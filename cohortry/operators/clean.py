@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -29,7 +30,7 @@ def to_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select([safe_numeric(col(c)).alias(c) if c in chosen else col(c) for c in df.columns])
 
 
-#: How code and label stand in a block of text. Each pattern eats the text from
+#: How code and label stand in a block of text. The first two eat the text from
 #: left to right without looking back, so a long text costs one pass.
 _PAIRS = {
     # label then code: F0 M1. Text that leads to no code is eaten as well, with an empty code.
@@ -37,7 +38,7 @@ _PAIRS = {
     # code then label: 01"A",02"B"
     "code_label": r'([0-9]{1,3})\s*"?([^",]+)"?(?:,|\z)',
     # a range, then its code: <100 1, 100-200 2
-    "range_code": r"([<>≥=0-9\-]+)\s*([0-9]+)",
+    "range_code": r"([<>≥=\d\-]+)\s*(\d+)",
 }
 _CODE_FIRST = {"code_label"}
 
@@ -68,6 +69,50 @@ def codebook_extract(blocks: DataFrame, form: str, field: str = "field", block:
             .groupBy("field", "code").agg(F.max_by("label", "__place").alias("label")))
 
 
+def field_blocks(df: DataFrame, id_col: str, text: str, fields: Sequence[str], mark: str = "：") -> DataFrame:
+    """Cut running text at its field marks (a name and ``mark``) into (id, field, block).
+
+    A field's block goes from its first mark to the next mark of another field, or to the end; marks of its own inside
+    the block are text. A name that ends another one is met inside it as well. Fields that do not occur give no row, nor
+    do missing texts; repeated ids stand for themselves.
+
+    All marks are found in one pass: the longest name before a mark is read, and stands for the listed names it ends with.
+    The cut stays inside the row, so nothing is shuffled.
+    """
+    names = list(dict.fromkeys(fields))
+    if not names or not mark or any(not n or mark in n for n in names):
+        raise ValueError("field names and the mark must not be empty, and names must not hold the mark")
+    escaped = "|".join(re.escape(n) for n in sorted(names, key=len, reverse=True))
+    # what a field needs to know: the names it is met in, and how much of its own repeated mark a shorter name leaves to it
+    rules = []
+    for n in names:
+        inner = max((m for m in names if m != n and n.endswith(m)), key=len, default=None)
+        rules.append(F.struct(F.lit(n).alias("field"), F.array(*[F.lit(m) for m in names if m.endswith(n)]).alias("met"),
+                              F.lit(None if inner is None else n[:-len(inner)]).cast("string").alias("front")))
+    pattern = F.lit(f"({escaped}){re.escape(mark)}")
+    found = df.filter(col(text).isNotNull()).select(
+        col(id_col).alias("id"), F.regexp_extract_all(col(text), pattern, F.lit(1)).alias("m"),
+        F.split(col(text), pattern, -1).alias("p")).filter(F.size("m") > 0)
+
+    def block(rule: Column) -> Column:
+        at = F.array_position(F.transform("m", lambda m: F.array_contains(rule["met"], m)), True).cast("int")
+        later = F.slice("m", at + 1, F.size("m"))
+        other = F.array_position(F.transform(later, lambda m: m != rule["field"]), True).cast("int")
+        own = F.when(other == 0, F.size(later)).otherwise(other - 1)
+        piece = lambda k: F.transform(F.slice("p", at + 1, k + 1), lambda p, i: F.when(i == 0, p).otherwise(F.concat(rule["field"], F.lit(mark), p)))
+        whole = F.array_join(piece(own), "")
+        short = F.concat(F.element_at("p", at + 1), F.when(F.get(later, F.lit(0)) == rule["field"], rule["front"]).otherwise(F.lit("")))
+        return F.when(at > 0, F.when(rule["front"].isNull(), whole).otherwise(short))
+
+    cut = F.transform(F.array(*rules), lambda r: F.struct(r["field"].alias("field"), block(r).alias("block")))
+    return found.select("id", F.inline(F.filter(cut, lambda x: x["block"].isNotNull())))
+
+
+def targets_by_part(columns: Sequence[str], parts: Mapping[str, str]) -> dict[str, list[str]]:
+    """For ``fan_out``: a field's codes go to every column whose name holds the field's part."""
+    return {field: [c for c in columns if part in c] for field, part in parts.items()}
+
+
 def fan_out(codebook: DataFrame, targets: Mapping[str, Sequence[str]]) -> DataFrame:
     """Give one field's codes to several columns; fields not named keep their own name."""
     known = F.create_map(*[x for f, cols in targets.items()
