@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cohortry.functions.vectors import as_vector
 from cohortry.operators import embed as e
 from cohortry.operators import evaluate as g
+from cohortry.operators import nearest
 from cohortry.plans import flows
 
 from . import fixtures as x
@@ -215,3 +216,16 @@ def metrics_long(spark, sf):
 SELECT COUNT(*) AS n, COUNT(*) FILTER (id = found) AS hits, CAST(COUNT(*) FILTER (id = found) AS DOUBLE) / COUNT(*) AS top1 FROM scored WHERE r = 1""")
 def retrieval_top1(spark, sf):
     return g.retrieval_top1(x.vectors(spark, sf).select("id", "embedding"), x.second_view(spark, sf), "id", "embedding", "view")
+
+
+@query("most_similar", f"""WITH {x.CLEAN_CTE}, rows AS (SELECT id, segment, [CAST(n_orders AS DOUBLE), bal, CAST(urgent AS DOUBLE), CAST(finished AS DOUBLE)] AS v
+  FROM clean WHERE n_orders IS NOT NULL AND bal IS NOT NULL AND urgent IS NOT NULL AND finished IS NOT NULL),
+scored AS (SELECT p.v AS v, q.id AS found, ROUND(CASE WHEN list_sum([i * i FOR i IN p.v]) * list_sum([i * i FOR i IN q.v]) = 0 THEN 0
+  ELSE list_cosine_similarity(p.v, q.v) END, 12) AS s FROM (SELECT DISTINCT v FROM rows WHERE segment = 'MACHINERY') p, rows q WHERE q.segment <> 'MACHINERY')
+SELECT v[1] AS n_orders, v[2] AS bal, v[3] AS urgent, v[4] AS finished, {r6('MAX(s)')} AS similarity, arg_min(found, (-s, found)) AS found FROM scored GROUP BY v""")
+def most_similar(spark, sf):
+    """For the customers of one segment, the most similar customer of the others."""
+    rows = x.clean(spark, sf).select("id", "segment", F.array(*[F.col(c).cast("double") for c in ("n_orders", "bal", "urgent", "finished")]).alias("v"))
+    own = F.col("segment") == "MACHINERY"
+    out = nearest.most_similar(rows.filter(own), rows.filter(~own), "id", "v", "v")
+    return rounded(out.select(*[F.get("vector", F.lit(i)).alias(c) for i, c in enumerate(("n_orders", "bal", "urgent", "finished"))], "similarity", "found"), "similarity")
