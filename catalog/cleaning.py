@@ -56,7 +56,7 @@ def sink_table(spark, sf):
 @query("cached_stage", f"WITH {x.CLEAN_CTE} SELECT id, bal, code FROM clean")
 def cached_stage(spark, sf):
     inputs = [f"{sf}/{n}.parquet" for n in ("customer", "nation", "region", "orders")]
-    stage = lambda: t.cached_stage(spark, "clean_cohort", lambda: x.clean(spark, sf).select("id", "bal", "code"),
+    stage = lambda: t.cached_stage(spark, "clean_cohort", x.clean(spark, sf).select("id", "bal", "code"),
                                    inputs, {"columns": ["bal", "code"]}, _shared(spark))
     stage()
     return stage()

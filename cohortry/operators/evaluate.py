@@ -8,6 +8,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 from pyspark.ml.evaluation import ClusteringEvaluator
+from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -31,11 +32,12 @@ def silhouette_rows(df: DataFrame, id_col: str, vec: str, labels: Sequence[str],
 
     Distances are needed between all rows, so the work is quadratic by definition. It
     is cut into block pairs; a pair is reduced to one distance sum per row and cluster
-    before anything is shuffled, and several labelings share the same distances.
+    before anything is shuffled, and several labelings share the same distances. A row
+    without a label takes no part in that labeling, one without a vector in none.
     """
     names = list(labels)
     rows = df.select(col(id_col).alias("id"), doubles(col(vec)).alias("v"),
-                     *[col(c).cast("string").alias(f"l{i}") for i, c in enumerate(names)])
+                     *[col(c).cast("string").alias(f"l{i}") for i, c in enumerate(names)]).filter("v IS NOT NULL")
 
     def sums(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         a, b = stack(x["v"]), stack(y["v"])
@@ -44,13 +46,15 @@ def silhouette_rows(df: DataFrame, id_col: str, vec: str, labels: Sequence[str],
         dist = np.sqrt(np.maximum(d2, 0.0))
         out = []
         for i, name in enumerate(names):
+            mine = x[f"l{i}"].notna().to_numpy()
             codes, found = pd.factorize(y[f"l{i}"])
-            total = dist @ np.eye(len(found))[codes]
+            there = codes >= 0
+            total = dist[mine][:, there] @ np.eye(len(found))[codes[there]]
             out.append(pd.DataFrame({
-                "labeling": name, "id": np.repeat(x["id"].to_numpy(), len(found)),
-                "own": np.repeat(x[f"l{i}"].to_numpy(), len(found)),
-                "other": np.tile(np.asarray(found), len(x)), "s": total.ravel(),
-                "n": np.tile(np.bincount(codes, minlength=len(found)), len(x))}))
+                "labeling": name, "id": np.repeat(x["id"].to_numpy()[mine], len(found)),
+                "own": np.repeat(x[f"l{i}"].to_numpy()[mine], len(found)),
+                "other": np.tile(np.asarray(found), int(mine.sum())), "s": total.ravel(),
+                "n": np.tile(np.bincount(codes[there], minlength=len(found)), int(mine.sum()))}))
         return pd.concat(out, ignore_index=True)
 
     id_type = rows.schema["id"].dataType.simpleString()
@@ -78,9 +82,13 @@ def silhouette(df: DataFrame, id_col: str, vec: str, labels: Sequence[str] | str
     """
     names = [labels] if isinstance(labels, str) else list(labels)
     if mode == "squared":
-        ready = df.select(array_to_vector(doubles(col(vec))).alias("features"),
-                          *[col(c).cast("double").alias(c) for c in names])
-        rows = [(c, ClusteringEvaluator(featuresCol="features", predictionCol=c).evaluate(ready)) for c in names]
+        rows = []
+        for c in names:
+            ready = df.filter(col(vec).isNotNull() & col(c).isNotNull()).select(
+                array_to_vector(doubles(col(vec))).alias("features"), col(c).cast("string").alias("text"))
+            # the evaluator wants numbers and keeps the sums of all clusters in a broadcast anyway
+            coded = StringIndexer(inputCol="text", outputCol="prediction").fit(ready).transform(ready)
+            rows.append((c, ClusteringEvaluator(featuresCol="features").evaluate(coded)))
         return df.sparkSession.createDataFrame(rows, "labeling string, silhouette double")
     if mode == "sample":
         df = df.filter(lowest_k(df, stable_key(col(id_col), seed), col(id_col), {None: sample}))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -73,18 +74,40 @@ def input_fingerprint(spark: SparkSession, paths: Sequence[str]) -> str:
     return f"{row['n']}-{row['x']}"
 
 
-def cached_stage(spark: SparkSession, name: str, build: Callable[[], DataFrame], inputs: Sequence[str] = (),
+def plan_fingerprint(df: DataFrame) -> str:
+    """Digest of the analysed plan. Expression ids count by first occurrence, so sessions and repeated calls agree.
+
+    The plan holds columns, expressions and constants, but of a Python function only its name, and of a file only its schema.
+    """
+    # plans are printed with the settings of the thread's session, which need not be the frame's
+    conf = (SparkSession.getActiveSession() or df.sparkSession).conf
+    before = conf.get("spark.sql.debug.maxToStringFields", "25")
+    try:
+        conf.set("spark.sql.debug.maxToStringFields", str(2 ** 31 - 1))  # or wide rows would be cut short
+        text = df._jdf.queryExecution().analyzed().toString()
+    finally:
+        conf.set("spark.sql.debug.maxToStringFields", before)
+    seen: dict[str, int] = {}
+    # the names of lambda variables hold a running number, too
+    text = re.sub(r"(?:\b[a-z]+_[0-9]+)?#[0-9]+", lambda m: f"#{seen.setdefault(m[0], len(seen))}", text)
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def cached_stage(spark: SparkSession, name: str, build: DataFrame | Callable[[], DataFrame], inputs: Sequence[str] = (),
                  params: Mapping | None = None, root: str | None = None) -> DataFrame:
-    """Read a stage's stored table when its inputs and parameters are unchanged, else build and store it.
+    """Read a stage's stored table when its plan, inputs and parameters are unchanged, else store it anew.
 
-    The fingerprint is part of the path, so a changed input can never meet a stale
+    The fingerprint is part of the path, so changed code or input can never meet a stale
     result. The stored table also cuts lineage, and survives the loss of executors.
+    A DataFrame is known by its plan; what that does not show (the inside of a Python function) belongs into ``params``. A
+    function is for stages that run jobs while they are put together: it is called only to store, so its code is not known.
     """
-    key = json.dumps([name, params or {}, input_fingerprint(spark, inputs)], sort_keys=True, default=str)
+    plan = [plan_fingerprint(build)] if isinstance(build, DataFrame) else []
+    key = json.dumps([name, params or {}, input_fingerprint(spark, inputs), *plan], sort_keys=True, default=str)
     path = f"{stage_root(spark, root)}/stages/{name}-{hashlib.sha256(key.encode()).hexdigest()[:16]}"
     try:
         # the commit marker is written last, so a half-written table is never read
         spark.read.format("binaryFile").load(f"{path}/_SUCCESS").limit(1).count()
     except AnalysisException:
-        build().write.mode("overwrite").parquet(path)
+        (build if plan else build()).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
