@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cohortry.functions.vectors import as_vector, norm
 from cohortry.operators import embed as e
 from cohortry.operators import features as f
+from cohortry.operators import indicators as s
 from cohortry.operators.clean import collapse_rare, readable_value
 
 from . import fixtures as x
@@ -86,6 +87,47 @@ def design_matrix(spark, sf):
         "v", lambda y: F.round(y * y, 6)).alias("sum_sq"))))
 
 
+def _number(c: str) -> str:
+    return f"""SELECT id, '{c}' AS feature, (v - AVG(v) OVER ()) / COALESCE(NULLIF(stddev_pop(v) OVER (), 0), 1) AS value
+  FROM (SELECT id, COALESCE({c}, (SELECT quantile_cont({c}, 0.5) FROM clean)) AS v FROM clean)"""
+
+
+def _indicator(c: str) -> str:
+    return f"""SELECT id, '{c}=' || CASE WHEN COUNT(*) OVER (PARTITION BY level) * 1.0 / COUNT(*) OVER () >= 0.005 THEN level ELSE 'Other' END AS feature,
+  1.0 AS value FROM (SELECT id, COALESCE(CAST({c} AS VARCHAR), 'Missing') AS level FROM clean)"""
+
+
+@query("design_cells", f"""WITH {x.CLEAN_CTE}, cells AS ({" UNION ALL ".join([*map(_number, ("spend_cents", "avg_cents", "bal")), *map(_indicator, ("nation", "segment", "kind", "code"))])})
+SELECT id, feature, {r6('value', 4)} AS value FROM cells WHERE ROUND(value, 4) <> 0""")
+def design_cells(spark, sf):
+    """Every cell of the design matrix that is not 0, by row."""
+    matrix, design = f.design_matrix(x.clean(spark, sf).select("id", *_MATRIX), "id", numeric_keywords=_KEYWORDS)
+    names = F.array(*[F.lit(n) for n in design.features])
+    cells = matrix.select("id", F.inline(F.arrays_zip(names.alias("feature"), vector_to_array("features").alias("value"))))
+    return rounded(cells, "value", digits=4).filter("value <> 0")
+
+
+_WIDE = ("o_custkey", "o_orderstatus", "o_orderpriority", "o_orderdate")
+
+
+def _place(i: int, c: str) -> str:
+    before = " + ".join(["0", *[f"(SELECT COUNT(DISTINCT {b}) FROM orders)" for b in _WIDE[:i]]])
+    return f"""SELECT o_orderkey, {1 + i} AS k, 1 + {before} + DENSE_RANK() OVER (ORDER BY CAST({c} AS VARCHAR)) - 1 AS place, 1.0 AS value FROM orders"""
+
+
+@query("sparse_indicators", f"""WITH cells AS (SELECT o_orderkey, 0 AS k, 0 AS place, o_totalprice AS value FROM orders UNION ALL {" UNION ALL ".join(_place(i, c) for i, c in enumerate(_WIDE))})
+SELECT o_orderkey, CAST(k AS INT) AS k, CAST(place AS INT) AS place, CAST(value AS DOUBLE) AS value,
+  CAST(1 + {" + ".join(f"(SELECT COUNT(DISTINCT {c}) FROM orders)" for c in _WIDE)} AS INT) AS width FROM cells""")
+def sparse_indicators(spark, sf):
+    """The parts of one sparse vector per order: its price, then an indicator of customer, status, priority and date."""
+    orders = x.table(spark, sf, "orders").withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
+    words = s.level_dictionary(orders, _WIDE).persist()
+    rows = s.sparse_indicators(orders, _WIDE, words, ["o_orderkey"], [F.col("o_totalprice")])
+    cells = rows.select("o_orderkey", s.vector_parts("features").alias("p"))
+    return cells.select("o_orderkey", F.posexplode(F.arrays_zip("p.indices", "p.values")).alias("k", "c"), "p.size").select(
+        "o_orderkey", "k", F.col("c.indices").alias("place"), F.col("c.values").alias("value"), F.col("size").alias("width"))
+
+
 _FEATURES = """SELECT DISTINCT 'nation=' || nation AS feature FROM {cohort} UNION SELECT DISTINCT 'kind=' || kind FROM {cohort}
 UNION SELECT DISTINCT 'code_raw__missing=' || CASE WHEN code_raw = 'N/A' THEN '1' ELSE '0' END FROM {cohort}
 UNION SELECT CASE WHEN n_orders >= 0 THEN 'n_orders' ELSE 'spend_cents' END FROM {cohort}

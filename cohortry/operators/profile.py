@@ -16,7 +16,7 @@ from ..functions.ranks import exact_quantiles, with_ranks
 from ..functions.sizes import broadcast_if_small, few_rows, one_row
 from ..functions.vectors import dot, doubles, literal, squared_distance, subtract
 from .clean import readable_value
-from .evaluate import MAX_CLUSTERS, cluster_centres, effect_sizes, group_moments, spearman
+from .evaluate import cluster_centres, effect_sizes, group_moments, spearman
 
 
 def cluster_profile_means(df: DataFrame, label: str, columns: Sequence[str]) -> DataFrame:
@@ -85,6 +85,13 @@ def top_markers(df: DataFrame, label: str, columns: Sequence[str], clusters: Seq
     return sizes.select("feature", "eta_squared", *[col(c) for c in names]).orderBy(F.desc("eta_squared"), "feature")
 
 
+def markers_long(df: DataFrame, label: str, columns: Sequence[str], min_values: int = 50) -> DataFrame:
+    """(feature, eta_squared, label, mean): ``top_markers`` with a row instead of a column per cluster, for any number of them."""
+    moments = group_moments(df, label, columns)
+    sizes = effect_sizes(moments, min_values=min_values).select("feature", "eta_squared")
+    return moments.select("feature", "label", "mean").join(sizes, "feature").select("feature", "eta_squared", "label", "mean")
+
+
 def name_clusters(df: DataFrame, label: str, domains: Mapping[str, str], floor: float = 0.2) -> DataFrame:
     """(label, cluster_name, top_domains): named after the two domains most often impaired.
 
@@ -142,15 +149,12 @@ def gradient_summary(df: DataFrame, label: str, overall: str, domains: Sequence[
     """
     names = list(dict.fromkeys([overall, *domains, *outcomes]))
     means = df.groupBy(col(label).alias("label")).agg(*[F.avg(safe_numeric(col(c))).alias(c) for c in names])
-    rows = few_rows(means, MAX_CLUSTERS, "clusters")
-    means = df.sparkSession.createDataFrame(rows, means.schema)
-    spans = {}
-    for d in domains:
-        known = [r[d] for r in rows if r[d] is not None]
-        if known:
-            spans[d] = max(known) - min(known)
+    span = means.agg(*[(F.max(c) - F.min(c)).alias(f"d{i}") for i, c in enumerate(domains)]) if domains else None
+    spans = {} if span is None else {d: v for d, v in zip(domains, one_row(span)) if v is not None}
     widest = max(spans, key=spans.get) if spans else None
-    order = means.withColumn("__order", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(col(overall), "label")))
+    # clusters are ordered by mean and label together; their places are distributed ranks, not one window over all of them
+    placed = means.withColumns({"__key": F.struct(col(overall).alias("m"), F.col("label")), "__n": F.lit(1).cast("long")})
+    order = with_ranks(placed, "__key", n="__n", rank="__avg", before="__order")
     long = order.select("__order", F.inline(F.array(*[
         F.struct(F.lit(o).alias("outcome"), col(o).alias("value")) for o in outcomes])))
     ends = long.groupBy("outcome").agg(F.min_by("value", "__order").alias("worst_value"),
@@ -201,45 +205,25 @@ def worst_and_best(df: DataFrame, label: str, outcome: str):
     return row["worst"], row["best"]
 
 
-def _ends(means) -> tuple:
-    """Ties in the mean are settled by the label."""
-    known = sorted((r for r in means if r["m"] is not None), key=lambda r: (r["m"], r["label"]))
-    return known[-1]["label"], known[0]["label"]
-
-
-def _spread(parts) -> float | None:
-    """Sample deviation of a column from its (count, mean, squares) per cluster."""
-    parts = [p for p in parts if p[0]]
-    n = sum(p[0] for p in parts)
-    if n < 2:
-        return None
-    mean = sum(c * m for c, m, _ in parts) / n
-    return (sum(w + c * (m - mean) ** 2 for c, m, w in parts) / (n - 1)) ** 0.5
-
-
 def prototype_counterfactual(df: DataFrame, id_col: str, vec: str, label: str, outcome: str,
                              fields: Sequence[str], n: int = 3, top: int = 6) -> DataFrame:
     """The worst cluster's medoids, each with its nearest row of the best cluster and their
     ``top`` largest differences as text. A row whose vector lacks a number has no place and is no prototype
     and no counterfactual; it still counts for the outcomes and deviations.
 
-    Three passes: one summary per cluster (ends, centres, deviations), the medoids as a top-n, and
-    one scan of the best cluster that keeps the nearest row per medoid without a shuffle of rows.
+    The ends are two clusters out of any number; then the worst one's centre and the deviations come in one aggregate, the
+    medoids as a top-n, and one scan of the best cluster keeps the nearest row per medoid without a shuffle of rows.
     """
     number = {c: safe_numeric(col(c).cast("string")) for c in fields}
     placed = F.coalesce(F.forall(doubles(col(vec)), lambda x: x.isNotNull()), F.lit(False))
+    worst, best = worst_and_best(df, label, outcome)
+    # a row without a place is no part of the centre: it stands in with another cluster's weight, 0
+    inside = placed if worst is None else placed & F.coalesce(col(label) == F.lit(worst), F.lit(False))
     blank = F.array_repeat(F.lit(0.0), one_row(df.agg(F.max(F.size(doubles(col(vec)))).alias("d")))["d"] or 0)
-    summary = few_rows(
-        df.groupBy(col(label).alias("label")).agg(
-            F.avg(safe_numeric(col(outcome))).alias("m"),
-            Summarizer.mean(array_to_vector(F.coalesce(F.when(placed, doubles(col(vec))), blank)),
-                            placed.cast("double")).alias("centre"),
-            *[x for i, v in enumerate(number.values()) for x in (
-                F.count(v).alias(f"n{i}"), F.avg(v).alias(f"a{i}"), (F.var_pop(v) * F.count(v)).alias(f"w{i}"))]),
-        MAX_CLUSTERS, "clusters")
-    worst, best = _ends(summary)
-    centre = next(r["centre"] for r in summary if r["label"] == worst).toArray()
-    spread = [_spread([(r[f"n{i}"], r[f"a{i}"], r[f"w{i}"]) for r in summary]) for i in range(len(fields))]
+    facts = one_row(df.agg(
+        Summarizer.mean(array_to_vector(F.coalesce(F.when(placed, doubles(col(vec))), blank)), inside.cast("double")).alias("centre"),
+        *[F.stddev_samp(v).alias(f"s{i}") for i, v in enumerate(number.values())]))
+    centre, spread = facts["centre"].toArray(), [facts[f"s{i}"] for i in range(len(fields))]
     facts = F.struct(col(id_col).alias("id"), col(outcome).alias("outcome"),
                      *[x for i, c in enumerate(fields) for x in (
                          number[c].alias(f"x{i}"), col(c).cast("string").alias(f"r{i}"),
@@ -271,23 +255,17 @@ def prototype_counterfactual(df: DataFrame, id_col: str, vec: str, label: str, o
 
 def direction_table(df: DataFrame, label: str, outcome: str, columns: Sequence[str],
                     min_present: float = 0.7) -> DataFrame:
-    """(feature, best_mean, worst_mean, delta, standardized_delta), largest absolute shift first."""
-    means = df.groupBy(col(label).alias("label")).agg(
-        F.count(F.lit(1)).alias("rows"), F.avg(safe_numeric(col(outcome))).alias("m"),
-        *[x for i, c in enumerate(columns) for v in [safe_numeric(col(c))] for x in (
-            F.count(v).alias(f"n{i}"), F.avg(v).alias(f"a{i}"), (F.var_pop(v) * F.count(v)).alias(f"w{i}"))])
-    summary = few_rows(means, MAX_CLUSTERS, "clusters")
-    worst, best = _ends(summary)
-    at = {r["label"]: r for r in summary}
-    n_rows = sum(r["rows"] for r in summary)
-    out = []
-    for i, c in enumerate(columns):
-        spread = _spread([(r[f"n{i}"], r[f"a{i}"], r[f"w{i}"]) for r in summary])
-        present = sum(r[f"n{i}"] for r in summary) / n_rows
-        if present < min_present or not spread:
-            continue
-        good, bad = at[best][f"a{i}"], at[worst][f"a{i}"]
-        delta = None if good is None or bad is None else good - bad
-        out.append((c, good, bad, delta, None if delta is None else delta / (spread + 1e-8)))
-    schema = "feature string, best_mean double, worst_mean double, delta double, standardized_delta double"
-    return df.sparkSession.createDataFrame(out, schema).orderBy(F.desc(F.abs("standardized_delta")), "feature")
+    """(feature, best_mean, worst_mean, delta, standardized_delta), largest absolute shift first.
+
+    Two aggregates, however many clusters there are: the ends, then the columns at the ends and over all rows.
+    """
+    worst, best = worst_and_best(df, label, outcome)
+    at = lambda c, v: F.avg(F.when(col(label) == F.lit(c), v))
+    facts = df.agg(F.count(F.lit(1)).alias("rows"), *[x for i, c in enumerate(columns) for v in [safe_numeric(col(c))] for x in (
+        F.count(v).alias(f"n{i}"), F.stddev_samp(v).alias(f"s{i}"), at(best, v).alias(f"b{i}"), at(worst, v).alias(f"w{i}"))])
+    long = facts.select("rows", F.inline(F.array(*[F.struct(
+        F.lit(c).alias("feature"), F.col(f"n{i}").alias("n"), F.col(f"s{i}").alias("s"), F.col(f"b{i}").alias("best_mean"),
+        F.col(f"w{i}").alias("worst_mean")) for i, c in enumerate(columns)])))
+    kept = long.filter((F.col("n") >= min_present * F.col("rows")) & (F.col("s") > 0)).withColumn("delta", F.col("best_mean") - F.col("worst_mean"))
+    return kept.select("feature", "best_mean", "worst_mean", "delta", (F.col("delta") / (F.col("s") + 1e-8)).alias("standardized_delta")).orderBy(
+        F.desc(F.abs("standardized_delta")), "feature")
