@@ -25,6 +25,8 @@ MAX_DISTINCT = 2_000_000
 MAX_CANDIDATES = 200_000
 #: the same, summed over the columns that are picked in one job
 MAX_CANDIDATES_PER_JOB = 2_000_000
+#: tie-breaks at a cut that are settled on the driver
+MAX_TIES = 10_000
 
 
 def tally(df: DataFrame, *keys: str, n: str = "n") -> DataFrame:
@@ -236,7 +238,8 @@ def stable_key(*parts: Column | str | int) -> Column:
 
 
 def lowest_k(df: DataFrame, key: Column, tie: Column, k: dict, group: Column | None = None) -> Column:
-    """Predicate that is true for exactly the k rows with the smallest (key, tie) of each group.
+    """Predicate that is true for exactly the k rows with the smallest (key, tie) of each group; rows that are equal in both
+    go together, so the last of them may exceed k.
 
     ``k`` maps a group value to its k (use the key None without groups). The k-th
     smallest key is found by exact selection, so no class is ever sorted in one task.
@@ -267,12 +270,36 @@ def lowest_k(df: DataFrame, key: Column, tie: Column, k: dict, group: Column | N
     for i, g in enumerate(cut_groups):
         slot = F.when(mine[g] & (F.col("k") == cuts[g]), i).otherwise(slot)
     at_cut = keyed.select(slot.alias("i"), "t").filter(F.col("i").isNotNull())
-    ties = few_rows(at_cut.orderBy("t"), 10_000 * len(cut_groups), "equal keys at a cut")
+    last = _tie_cuts(at_cut, {i: asked[g] - lower[f"n{i}"] for i, g in enumerate(cut_groups)})
     for i, g in enumerate(cut_groups):
-        keep = [r["t"] for r in ties if r["i"] == i][: asked[g] - lower[f"n{i}"]]
-        chosen = chosen | (part(g, group) & ((key < cuts[g]) | ((key == cuts[g]) & tie.isin(keep))))
+        kept = tie.isNull() if last[i] is None else tie.isNull() | (tie <= F.lit(last[i]))
+        chosen = chosen | (part(g, group) & ((key < cuts[g]) | ((key == cuts[g]) & kept)))
     return chosen
 
 
+def _tie_cuts(at_cut: DataFrame, wanted: dict[int, int]) -> dict:
+    """Per group i the largest tie-break that is still kept, so that at least ``wanted[i]`` rows are; NULL comes first.
+
+    Rows of one tie-break are a single row here. Few of them are settled on the driver, more by distributed ranks.
+    """
+    counts = at_cut.groupBy("i", "t").agg(F.count(F.lit(1)).alias("n"))
+    rows = counts.take(MAX_TIES + 1)
+    if len(rows) > MAX_TIES:
+        left = F.lit(0)
+        for i, n in wanted.items():
+            left = F.when(F.col("i") == i, F.lit(n)).otherwise(left)
+        kept = with_ranks(counts, "t", ["i"], before="__before").filter(F.col("__before") < left)
+        found = few_rows(kept.groupBy("i").agg(F.max("t").alias("t")), len(wanted), "groups that are cut")
+        return {i: None for i in wanted} | {r["i"]: r["t"] for r in found}
+    last = {}
+    for i, n in wanted.items():
+        last[i], before = None, 0
+        for r in sorted((r for r in rows if r["i"] == i), key=lambda r: (r["t"] is not None, r["t"])):
+            if before >= n:
+                break
+            last[i], before = r["t"], before + r["n"]
+    return last
+
+
 def is_group(group: Column, value) -> Column:
     return group.isNull() if value is None else F.coalesce(group == F.lit(value), F.lit(False))

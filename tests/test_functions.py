@@ -94,6 +94,19 @@ def test_lowest_k_is_exact_under_ties(spark, n):
     assert sorted((x["k"], x["id"]) for x in kept) == want
 
 
+@pytest.mark.parametrize("limit", [10_000, 3])
+def test_lowest_k_with_any_number_of_equal_keys(spark, monkeypatch, limit):
+    monkeypatch.setattr(r, "MAX_TIES", limit)
+    df = spark.range(25_000).select("id", F.when(F.col("id") < 20, 0).otherwise(1).alias("k"), (F.col("id") % 2).alias("g"))
+    kept = df.filter(r.lowest_k(df, F.col("k").cast("long"), F.col("id"), {0: 12_000, 1: 11}, F.col("g")))
+    got = kept.groupBy("g").agg(F.count(F.lit(1)), F.max("id")).collect()
+    assert sorted(map(tuple, got)) == [(0, 12_000, 23_998), (1, 11, 21)]
+    # repeated and missing ids: equal rows stay together, missing ones come first
+    ids = spark.createDataFrame([(None,)] * 3 + [(7,)] * 5 + [(8,)] * 5, "id int")
+    counts = lambda n: ids.filter(r.lowest_k(ids, F.lit(1).cast("long"), F.col("id"), {None: n})).count()
+    assert [counts(n) for n in (1, 3, 4, 8, 9, 13, 20)] == [3, 3, 8, 8, 13, 13, 13]
+
+
 def test_lowest_k_per_group_survives_repartition(spark):
     df = spark.createDataFrame([(i, "x" if i % 3 else "y") for i in range(300)], "id long, g string")
     pick = lambda d: sorted(x["id"] for x in d.filter(
