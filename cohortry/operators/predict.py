@@ -58,15 +58,16 @@ def train_classifiers(train: DataFrame, label: str = "label", features: str = "f
     """Fitted models by name: logistic regression, a forest, and boosted trees with a softmax over the classes.
 
     ``penalty`` weighs half the squared coefficients against the sum of the losses of all rows. Forests grow as deep as Spark
-    allows; boosting draws its rows per round and its columns per tree.
+    allows; boosting draws its rows per round and its columns per tree. Rows without a label or a vector teach nothing.
     """
+    known = train.filter(safe_numeric(col(label)).isNotNull() & col(features).isNotNull())
     common = dict(featuresCol=features, labelCol=label)
     makers = {
         # Spark takes the mean of the losses
-        "LR": lambda: LogisticRegression(maxIter=2000, regParam=penalty / max(1, train.count()), standardization=False, **common),
+        "LR": lambda: LogisticRegression(maxIter=2000, regParam=penalty / max(1, known.count()), standardization=False, **common),
         "RF": lambda: RandomForestClassifier(numTrees=trees, maxDepth=forest_depth, seed=seed, **common),
     }
-    return {m: boosting.boost(train, label, features, rounds, depth, rate, row_share, column_share, seed=seed) if m == "GBT" else makers[m]().fit(train)
+    return {m: boosting.boost(train, label, features, rounds, depth, rate, row_share, column_share, seed=seed) if m == "GBT" else makers[m]().fit(known)
             for m in models}
 
 
