@@ -22,8 +22,9 @@ from pyspark.storagelevel import StorageLevel
 from .columns import col
 
 CELLS = 1 << 19
-#: Sums of so many partitions are added by the driver, of more in a shuffle before; either way in the order of the partitions.
-FEW = 16
+#: Sums of so many partitions come to the driver as they are, of more they are added in a shuffle before, so that what it gets does
+#: not grow with the rows; either way in the order of the partitions.
+FEW = 1
 
 
 def as_array(df: DataFrame, name: str) -> Column:
