@@ -27,6 +27,8 @@ from ..functions.vectors import doubles, stack
 PIVOTS, PIVOT_BYTES = 2048, 32 << 20
 #: points for each pivot, as long as these are few; rings a cell is cut into at most; rows of one side a task compares at once
 CELL, RINGS, BLOCK = 512, 16, 2048
+#: rows whose distances to all pivots or rings a task holds at once
+STEP = 256
 #: similarities are compared to 12 places; distances are off by less than this, rounding of both included
 SLACK = 1e-5
 
@@ -40,7 +42,10 @@ def _lifted(v: np.ndarray, query: bool) -> np.ndarray:
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(2.0 - 2.0 * (a @ b.T), 0.0))
+    d = a @ b.T
+    d *= -2.0
+    d += 2.0
+    return np.sqrt(np.maximum(d, 0.0, out=d), out=d)
 
 
 def _distinct(df: DataFrame, id_col: str, vec: str) -> DataFrame:
@@ -92,12 +97,19 @@ def _pivots(known: DataFrame, n: int, pivots: int | None) -> np.ndarray:
     return _lifted(np.array([r["v"] for r in chosen], dtype=float).reshape(len(chosen), row["high"]), False)
 
 
+def _nearest_pivot(points: pd.DataFrame, centres: np.ndarray) -> Iterator[pd.DataFrame]:
+    """Points with the place of their nearest pivot and the distance to it, few at a time, as each has a distance to every pivot."""
+    for at in range(0, len(points), STEP):
+        some = points.iloc[at:at + STEP]
+        d = _distances(_lifted(stack(some["v"]), False), centres)
+        yield some.assign(cell=d.argmin(1).astype(np.int32), d=d.min(1))
+
+
 def _cells(known: DataFrame, centres: np.ndarray, id_type: str) -> tuple[DataFrame, pd.DataFrame]:
     """Points with cell, ring and part, and (cell, ring, low, high, parts) of the at most PIVOTS * RINGS rings."""
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            d = _distances(_lifted(stack(b["v"]), False), centres) if len(b) else np.zeros((0, 1))
-            yield b.assign(cell=d.argmin(1).astype(np.int32), d=d.min(1))
+            yield from _nearest_pivot(b, centres)
 
     placed = known.select("id", "v").mapInPandas(assign, f"id {id_type}, v array<double>, cell int, d double")
     cuts = placed.groupBy("cell").agg(F.percentile_approx("d", [i / RINGS for i in range(1, RINGS)], 1000).alias("cuts"),
@@ -124,8 +136,8 @@ def _rounds(asked: DataFrame, cells: DataFrame, centres: np.ndarray, rings: pd.D
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             # few queries at a time: each may go to every ring
-            for at in range(0, len(b), 256):
-                q = b.iloc[at:at + 256]
+            for at in range(0, len(b), STEP):
+                q = b.iloc[at:at + STEP]
                 d = _distances(_lifted(stack(q["v"]), True), centres)[:, cell]
                 bound = np.maximum(np.maximum(d - high, low - d), 0.0)
                 # of equal bounds, the ring of the nearest pivot
