@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortry.functions.vectors import doubles
+
 COHORT = """
 SELECT c.c_custkey AS id, n.n_name AS nation, r.r_name AS region, c.c_mktsegment AS segment,
   CASE WHEN c.c_custkey % 13 = 0 THEN 'ND' WHEN c.c_custkey % 17 = 0 THEN ' uk '
@@ -127,10 +129,11 @@ def clean(spark: SparkSession, sf: str) -> DataFrame:
 
 def second_view(spark: SparkSession, sf: str) -> DataFrame:
     """(id, view): each vector averaged with its successor's, as a second view of the same rows."""
-    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("own"))
+    # the join shuffles the vectors as they are stored
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("own"))
     after = v.select((F.col("id") - 1).alias("id"), F.col("own").alias("next"))
-    mean = F.zip_with("own", "next", lambda a, b: (a + b) / 2.0)
-    return v.join(after, "id", "left").select("id", F.coalesce(mean, "own").alias("view"))
+    mean = F.zip_with(doubles("own"), doubles("next"), lambda a, b: (a + b) / 2.0)
+    return v.join(after, "id", "left").select("id", F.coalesce(mean, doubles("own")).alias("view"))
 
 
 SECOND_VIEW_CTE = """

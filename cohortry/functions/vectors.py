@@ -21,6 +21,11 @@ def doubles(vec: Column | str) -> Column:
     return c.cast("array<double>")
 
 
+def as_stored(df: DataFrame, vec: str) -> Column:
+    """An array of floats as it is, half the bytes, any other as doubles; :func:`stack` makes doubles of both."""
+    return col(vec) if df.schema[vec].dataType.simpleString() == "array<float>" else doubles(col(vec))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import col, melt, safe_numeric
 from ..functions.ranks import lowest_k, stable_key, tally, value_ranks
 from ..functions.sizes import broadcast_if_small
-from ..functions.vectors import block_pairs, doubles, squared_distance, stack
+from ..functions.vectors import as_stored, block_pairs, doubles, squared_distance, stack
 
 #: clusters one labeling may have when its summary is brought to a broadcast
 MAX_CLUSTERS = 10_000
@@ -343,8 +343,8 @@ def retrieval_top1(left: DataFrame, right: DataFrame, id_col: str, left_vec: str
 
     Ties go to the smaller id. The pairs of a block keep one best match per row.
     """
-    a = left.select(col(id_col).alias("id"), doubles(col(left_vec)).alias("v"))
-    b = right.select(col(id_col).alias("id"), doubles(col(right_vec)).alias("v"))
+    a = left.select(col(id_col).alias("id"), as_stored(left, left_vec).alias("v"))
+    b = right.select(col(id_col).alias("id"), as_stored(right, right_vec).alias("v"))
 
     def best(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         y = y.sort_values("id", kind="stable")
