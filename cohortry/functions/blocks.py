@@ -27,6 +27,8 @@ DENSE = 64
 #: Sums of so many partitions come to the driver as they are, of more they are added in a shuffle before, so that what it gets does
 #: not grow with the rows; either way in the order of the partitions.
 FEW = 1
+#: partitions of blocks for each core
+PARTS = 2
 
 
 def as_array(df: DataFrame, name: str) -> Column:
@@ -46,6 +48,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def few_parts(df: DataFrame) -> DataFrame:
+    """Blocks in so few partitions that what the tasks of a pass report does not grow with the rows."""
+    return df.coalesce(PARTS * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def dense(lists: pa.ListArray) -> np.ndarray:
     """The rows of a list column, all of one length, as a matrix."""
     lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
@@ -136,7 +143,7 @@ def packed(df: DataFrame, features: str, mask: Column | None = None) -> Blocks:
                                               pa.array([bits[a:a + step].tobytes() for a in cut], pa.binary()), pa.array([len(x[a:a + step]) for a in cut], pa.int64()),
                                               pa.array([x.shape[1]] * len(cut), pa.int64())], names=["x", "mask", "n", "width"])
     rows = df.select(as_array(df, features).alias("x"), F.coalesce((F.lit(-1) if mask is None else mask).cast("long"), F.lit(0)).alias("mask")).filter("x IS NOT NULL")
-    made = rows.mapInArrow(of, "x binary, mask binary, n long, width long").select(F.monotonically_increasing_id().alias("block"), "x", "mask", "n", "width")
+    made = few_parts(rows.mapInArrow(of, "x binary, mask binary, n long, width long")).select(F.monotonically_increasing_id().alias("block"), "x", "mask", "n", "width")
     table = made.persist(StorageLevel.MEMORY_AND_DISK)
     size = table.agg(F.max("width"), F.coalesce(F.sum("n"), F.lit(0)), F.min("width")).first()
     if size[0] != size[2]:
@@ -252,7 +259,7 @@ def packed_sparse(df: DataFrame, features: str) -> SparseBlocks:
                 + [pa.array([len(t) for t in parts], pa.int64()), pa.array([widest] * len(parts), pa.int64())], names=["edge", "at", "value", "n", "width"])
     size = F.when(F.col("x.type") == 0, F.col("x.size")).otherwise(F.size("x.values"))
     rows = df.select(F.unwrap_udt(col(features)).alias("x")).filter("x IS NOT NULL").select("x", size.alias("size"))
-    made = rows.mapInArrow(of, "edge binary, at binary, value binary, n long, width long")
+    made = few_parts(rows.mapInArrow(of, "edge binary, at binary, value binary, n long, width long"))
     table = made.select(F.monotonically_increasing_id().alias("block"), "edge", "at", "value", "n", "width").persist(StorageLevel.MEMORY_AND_DISK)
     total, width = table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.max("width")).first()
     return SparseBlocks(table.select("block", "edge", "at", "value"), width or 0, total, table.select(F.spark_partition_id().alias("p")).distinct().count())
