@@ -64,6 +64,8 @@ def summed(table: DataFrame, partitions: int, each: Callable[[Iterator[pa.Record
            then: Callable[[str, np.ndarray], np.ndarray] | None = None) -> dict[str, np.ndarray]:
     """The sums by name over all blocks of a table; ``each`` yields (block, arrays by name) for the blocks of a partition. With
     ``then`` a sum stays in the task that added it, and only what ``then(name, sum)`` makes of it comes to the driver."""
+    alone = partitions <= 1  # what the task adds is the whole sum
+
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         least = None
@@ -71,6 +73,8 @@ def summed(table: DataFrame, partitions: int, each: Callable[[Iterator[pa.Record
             least = block if least is None else min(least, block)
             for name, value in some.items():
                 total[name] = total[name] + value if name in total else np.asarray(value, float)
+        if alone and then is not None:
+            total = {name: np.asarray(then(name, value), float) for name, value in total.items()}
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([least] * len(total), pa.int64()), pa.array([list(v.shape) for v in total.values()], pa.list_(pa.int64())),
                                               pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["name", "part", "shape", "value"])
@@ -83,7 +87,7 @@ def summed(table: DataFrame, partitions: int, each: Callable[[Iterator[pa.Record
         return table.slice(0, 1).set_column(2, "shape", pa.array([list(total.shape)], pa.list_(pa.int64()))).set_column(3, "value", pa.array([total.tobytes()], pa.binary()))
     schema = "name string, part long, shape array<long>, value binary"
     parts = table.mapInArrow(part, schema)
-    if partitions > FEW or then is not None:
+    if partitions > FEW or then is not None and not alone:
         parts = parts.groupBy("name").applyInArrow(add, schema)
     total: dict[str, np.ndarray] = {}
     for r in sorted(parts.collect(), key=lambda r: r["part"]):

@@ -40,3 +40,17 @@ def test_scores_are_made_once_and_rows_meet_the_trees_in_few_blocks(spark, many,
     monkeypatch.setattr(forest, "block_pairs", lambda left, *args: (asked.append(left.rdd.getNumPartitions()), pairs(left, *args))[1])
     scored = flows._scored(model, many)
     assert asked == [1] and scored.is_cached and scored.columns == ["label", "prediction", "__scores"] and scored.count() == 300
+
+
+def test_a_small_table_is_boosted_without_a_shuffle(spark, many, monkeypatch):
+    seen, summed = [], boosting.summed
+    monkeypatch.setattr(boosting, "summed", lambda table, partitions, *args: (seen.append((table.rdd.getNumPartitions(), partitions)), summed(table, partitions, *args))[1])
+    one = boosting.boost(many, "label", rounds=2, depth=2)
+    assert set(seen) == {(1, 1)}
+    # the same rows in blocks of the same numbers, of which a task gets a few
+    monkeypatch.setattr(boosting, "few_parts", lambda df: df)
+    monkeypatch.setattr(boosting, "CELLS", 60)
+    several = boosting.boost(many, "label", rounds=2, depth=2)
+    assert seen[-1] == (15, 15)
+    for a, b in zip(sum(one.trees, []), sum(several.trees, [])):
+        assert np.array_equal(a.feature, b.feature) and np.allclose(a.cut, b.cut) and np.allclose(a.value, b.value)
