@@ -54,3 +54,12 @@ def test_a_small_table_is_boosted_without_a_shuffle(spark, many, monkeypatch):
     assert seen[-1] == (15, 15)
     for a, b in zip(sum(one.trees, []), sum(several.trees, [])):
         assert np.array_equal(a.feature, b.feature) and np.allclose(a.cut, b.cut) and np.allclose(a.value, b.value)
+
+
+def test_texts_of_one_partition_are_split_in_several_tasks(spark, monkeypatch):
+    from cohortry.operators import features
+    seen, fit = [], features.CountVectorizer.fit
+    monkeypatch.setattr(features.CountVectorizer, "fit", lambda self, df: (seen.append(df.rdd.getNumPartitions()), fit(self, df))[1])
+    texts = spark.createDataFrame([(i if i % 9 else None, f"the word{i % 7} and word{i % 5}" if i % 8 else None) for i in range(200)], "id long, text string").coalesce(1)
+    out = features.tfidf_vectors(texts, "id", "text", min_df=2)
+    assert seen == [int(spark.conf.get("spark.sql.shuffle.partitions"))] and out.count() == 200
