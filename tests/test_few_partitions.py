@@ -56,6 +56,22 @@ def test_a_small_table_is_boosted_without_a_shuffle(spark, many, monkeypatch):
         assert np.array_equal(a.feature, b.feature) and np.allclose(a.cut, b.cut) and np.allclose(a.value, b.value)
 
 
+def test_blocks_that_lie_in_one_partition_are_dealt_to_all_cores(spark, monkeypatch):
+    """As of a file that is read as one: a pass of a clustering went through all rows in one task."""
+    from cohortry.functions import blocks
+    from cohortry.operators import many_starts
+    monkeypatch.setattr(blocks, "CELLS", 60)
+    x = np.random.default_rng(2).standard_normal((2000, 3))
+    rows = spark.createDataFrame([(v.tolist(),) for v in x], "v array<double>").coalesce(1)
+    made = blocks.packed(rows, "v")
+    assert made.partitions == PARTS * spark.sparkContext.defaultParallelism and made.rows == 2000
+    got = many_starts.k_means(made, [many_starts.Run(3, 1, 2)])[0]
+    monkeypatch.setattr(blocks, "spread_blocks", lambda table: table)
+    alone = blocks.packed(rows, "v")
+    want = many_starts.k_means(alone, [many_starts.Run(3, 1, 2)])[0]
+    assert alone.partitions == 1 and np.allclose(got.centres, want.centres) and got.cost == pytest.approx(want.cost)
+
+
 def test_texts_of_one_partition_are_split_in_several_tasks(spark, monkeypatch):
     from cohortry.operators import features
     seen, fit = [], features.CountVectorizer.fit
