@@ -14,7 +14,7 @@ class Called(Exception):
     pass
 
 
-@pytest.mark.parametrize("query", ["predict_clusters"])
+@pytest.mark.parametrize("query", ["predict_clusters", "predict_low_outcome"])
 def test_full_number_of_rounds(spark, monkeypatch, query):
     whole = inspect.signature(predict.train_classifiers)
 
