@@ -70,7 +70,7 @@ def multiclass_metrics(spark, sf):
 def train_classifiers(spark, sf):
     rows = as_vector(x.vectors(spark, sf), "embedding").select("id", "features", (F.col("label") >= 5).cast("double").alias("label"))
     ready = p.stratified_split(rows, "id", "label").persist()
-    models = p.train_classifiers(ready.filter("is_test = 0"), rounds=40)
+    models = p.train_classifiers(ready.filter("is_test = 0"))
     parts = [m.transform(ready.filter("is_test = 1")).select("id", "label", "prediction", F.lit(n).alias("model")) for n, m in models.items()]
     return reduce(DataFrame.unionByName, parts)
 

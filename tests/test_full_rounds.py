@@ -14,7 +14,7 @@ class Called(Exception):
     pass
 
 
-@pytest.mark.parametrize("query", ["predict_clusters", "predict_low_outcome", "predict_low_outcome_strict"])
+@pytest.mark.parametrize("query", ["predict_clusters", "predict_low_outcome", "predict_low_outcome_strict", "train_classifiers"])
 def test_full_number_of_rounds(spark, monkeypatch, query):
     whole = inspect.signature(predict.train_classifiers)
 
@@ -23,7 +23,7 @@ def test_full_number_of_rounds(spark, monkeypatch, query):
         bound.apply_defaults()
         raise Called(bound.arguments)
 
-    monkeypatch.setattr(predict, spy)
+    monkeypatch.setattr(predict, "train_classifiers", spy)
     with pytest.raises(Called) as got:
         entry.queries()[query](spark, SMALL)
     assert {n: got.value.args[0][n] for n in ("rounds", "trees", "models")} == {"rounds": 300, "trees": 300, "models": ("LR", "RF", "GBT")}
